@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pathloom.llm.bpe import bpe_encode
 from pathloom.llm.compression import compression_rules
+from pathloom.llm.html_extract import extract_html
 from pathloom.llm.mixing import TOKEN, mix_rates
 from pathloom.llm.pairwise_quality import quality_classifier
+from pathloom.llm.pivot_index import near_groups
 from pathloom.llm.simhash import near_dedup_ids
+from pathloom.llm.token_binary import token_shards
 from pathloom.llm.token_counts import token_counts
+from pathloom.llm.url_filter import url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 TEMPERATURE = 0.7
@@ -25,6 +29,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards(_table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_table(spark, sf_dir, "pages"), columns=["page_id", "url"])
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup_ids(_table(spark, sf_dir, "documents"))
 
@@ -33,10 +45,18 @@ def op5_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules(_table(spark, sf_dir, "documents"), columns=["doc_id"], ratio_col="ratio", outside_col="chunks_outside")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(_table(spark, sf_dir, "documents"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_html(_table(spark, sf_dir, "pages"))
+
+
 def op9_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), columns=["doc_id"], score_col="score")
 
@@ -46,7 +66,19 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op4_simhash_dedup, op5_compression_rules, op7_bpe, op9_pairwise_quality, op10_mix_sources)}
+    every = (
+        op1_token_counts,
+        op2_token_binary,
+        op3_url_filter,
+        op4_simhash_dedup,
+        op5_compression_rules,
+        op6_embedding_dedup,
+        op7_bpe,
+        op8_html_extract,
+        op9_pairwise_quality,
+        op10_mix_sources,
+    )
+    return {f.__name__: f for f in every}
 
 
 _OP10 = f"""
