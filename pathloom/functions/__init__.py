@@ -1 +1 @@
-
+"""Functions for columns with JSON texts, paths and values."""

@@ -1 +1 @@
-
+"""Operators on tables of JSON documents."""

@@ -1 +1 @@
-
+"""Path queries over streams of documents."""
