@@ -18,9 +18,9 @@ from pathloom.operators.documents import Exprs, extract
 def window_counts(docs: DataFrame, exprs: Exprs, time_col: str, window: str = "1 hour", slide: str | None = None, late: str = "1 hour", json_col: str = "json") -> DataFrame:
     """Rows (start, end, pattern_id, matches): how many paths each expression matched, by windows of event time.
 
-    Rows later than `late` behind the newest are dropped by the watermark, and state older than that is freed.
+    Matches later than `late` behind the newest match are dropped by the watermark, and state older than that is freed.
     """
-    hits = extract(docs.withWatermark(time_col, late), exprs, json_col, keep=[time_col], which=True, strategy="walk")
+    hits = extract(docs, exprs, json_col, keep=[time_col], which=True, strategy="walk")
     grouped = hits.withWatermark(time_col, late).groupBy(F.window(F.col(time_col), window, slide).alias("w"), "pattern_id")
     return grouped.agg(F.count("*").alias("matches")).select("w.start", "w.end", "pattern_id", "matches")
 
