@@ -77,17 +77,24 @@ def array_index(segment: Column) -> Column:
 def value_at(document: Column, segments: list[str], kind: str = "variant") -> Column:
     """The value at fixed segments; a number is a key of an object or an index of an array, whichever is there.
 
-    Null if there is none, which a JSON null is not: as VARIANT that is a value. Keys with both kinds of quotes are beyond it.
+    Null if there is none, which a JSON null is not: as VARIANT that is a value. ValueError for a key with both kinds of
+    quotes and for more than six indices, which `extract` can do.
     """
     ways = [F.try_variant_get(document, w, "variant") for w in variant_paths(segments) or ()]
     if not ways:
-        return F.lit(None).cast(kind)
+        raise ValueError("these segments cannot be written as a VARIANT path")
     found = F.coalesce(*ways) if len(ways) > 1 else ways[0]
     return found if kind == "variant" else F.try_variant_get(found, "$", kind)
 
 
-def variant_paths(segments: list[str]) -> list[str] | None:
-    """Variant paths of all readings of the segments; None if a key cannot be written."""
+def _is_index(s: str) -> bool:
+    return s.isascii() and s.isdigit() and (s == "0" or s[0] != "0") and int(s) < 2**31
+
+
+def variant_paths(segments: list[str], limit: int = 64) -> list[str] | None:
+    """Variant paths of all readings of the segments; None if they are more than `limit` or a key cannot be written."""
+    if sum(map(_is_index, segments)) > limit.bit_length() - 1:
+        return None
     out = ["$"]
     for s in segments:
         if "'" not in s:
@@ -96,7 +103,7 @@ def variant_paths(segments: list[str]) -> list[str] | None:
             ways = [f'["{s}"]']
         else:
             return None
-        if s.isascii() and s.isdigit() and (s == "0" or s[0] != "0") and int(s) < 2**31:
+        if _is_index(s):
             ways.append(f"[{s}]")
         out = [o + w for o in out for w in ways]
     return out

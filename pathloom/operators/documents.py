@@ -153,10 +153,10 @@ def extract(df: DataFrame, exprs: Exprs, json_col: str = "json", keep: Sequence[
         raise ValueError(f"unknown semantics {semantics!r}")
     if array_mode not in ("index", "elementwise"):
         raise ValueError(f"unknown array mode {array_mode!r}")
-    literals = _literals(found, array_mode)
+    literals = _literals(found, array_mode) if strategy != "walk" else None
     if strategy == "direct" and literals is None:
         raise ValueError("these expressions have no short list of literal paths")
-    if strategy != "walk" and literals is not None:
+    if literals:
         return _direct(df, literals, json_col, keep, value, which)
     elementwise = array_mode == "elementwise"
     automaton = Automaton(found)

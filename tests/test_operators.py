@@ -1,0 +1,161 @@
+import json
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from pathloom import fixtures
+from pathloom.functions.json import array_index, format_json, formatted, is_valid, kind_of, parsed, segments_of, split_path, value_at
+from pathloom.operators.documents import extract, match, match_which, paths, summarise, with_validity
+from pathloom.operators.walk import dump, every_path, load, matching_paths
+from pathloom.plans.automaton import Automaton
+from pathloom.plans.syntax import PathSyntaxError
+
+DOC = '{"a": {"b": [1, {"c": 1.50}, [2]], "0": "zero"}, "b": null}'
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(1, DOC), (2, fixtures.USER), (3, "{bad"), (4, None), (5, ""), (6, "7"), (7, '{"a": "\\ud83d\\ude00 é \\ud800"}'), (1, DOC), (None, '{"a": 1}'), (8, "[]"), (9, '{"x": {}} tail')]
+    return spark.createDataFrame(rows, "doc_id int, json string")
+
+
+def rows(df):
+    return sorted(map(repr, map(tuple, df.collect())))
+
+
+@pytest.mark.parametrize("path, want", fixtures.SPLITS)
+def test_split_in_python(path, want):
+    assert segments_of(path) == list(want)
+
+
+def test_split_in_spark_equals_python(spark):
+    odd = ["", "$", "$.", "$$", "..", "[]", "[", "]", "a]b", '["]', "$[a][b]", '$["a.b"].c', "$.a[[0]]", '$[""]', "a.[b", "é[ü]", None]
+    got = spark.createDataFrame([(p,) for p in odd], "p string").select("p", split_path(F.col("p"))).collect()
+    for p, s in got:
+        assert s == (None if p is None else segments_of(p)), p
+
+
+@pytest.mark.parametrize("expr", ["$", "$.a", "$.a.b", "$.a.b[1].c", "$.a.(b|x)", "$.a[0]", "$.(a|b)", "$.b"])
+def test_strategies_agree(docs, expr):
+    one, other = (extract(docs, expr, strategy=s, value="json") for s in ("direct", "walk"))
+    assert rows(one) == rows(other)
+
+
+def test_recursive_paths_agree(docs):
+    docs = docs.where("doc_id <> 7 or doc_id is null")
+    assert rows(paths(docs, value="json")) == rows(paths(docs, value="json", strategy="recursive"))
+
+
+def test_paths_of_a_document(docs):
+    got = [r["path"] for r in paths(docs.where("doc_id = 2")).collect()]
+    assert sorted(got) == sorted(fixtures.USER_PATHS)
+
+
+def test_values(docs):
+    two = docs.where("doc_id = 2")
+    assert [r["value"] for r in extract(two, "$.user.name", value="string").collect()] == ["John"]
+    assert json.loads(extract(two, "$.user").collect()[0]["value"]) == json.loads(fixtures.USER)["user"]
+    assert extract(two, "$.user.contacts[1].type", value="string").collect()[0]["value"] == "phone"
+    assert extract(two, ["$.user.nonexistent", "$.user.contacts[5].type", "$.user.name.x"]).count() == 0
+    assert sorted(r["value"] for r in extract(two, "$.user.contacts.type", value="string", array_mode="elementwise").collect()) == ["email", "phone"]
+    assert extract(two, "$.user.contacts.type").count() == 0
+    assert extract(two, "$.user.name", value="int").collect()[0]["value"] is None
+    assert [tuple(r)[1:3] for r in extract(two, ["$.user.(age|name)", "$.user.age"], which=True).orderBy("pattern_id", "path").collect()] == [(0, "$.user.age"), (0, "$.user.name"), (1, "$.user.age")]
+
+
+def test_json_null_is_a_value(docs):
+    got = extract(docs.where("doc_id = 1"), "$.b").collect()
+    assert [r["value"] for r in got] == ["null", "null"]  # the row is there twice
+    assert extract(docs.where("doc_id = 1"), "$.b", value="string").collect()[0]["value"] is None
+
+
+def test_odd_texts(docs):
+    got = {r["doc_id"]: r["value"] for r in extract(docs, "$", strategy="walk").collect()}
+    assert set(got) == {1, 2, 6, 7, 8, 9, None}
+    assert got[6] == "7" and got[8] == "[]" and got[9] == '{"x":{}}'
+    assert "😀 é" in got[7]
+
+
+def test_deep_and_long_documents(spark):
+    deep = "[" * 900 + "]" * 900
+    wide = json.dumps({f"k{i}": i for i in range(20_000)})
+    df = spark.createDataFrame([(1, deep), (2, wide)], "doc_id int, json string")
+    n = {r["doc_id"]: r["total_paths"] for r in summarise(df, "$").collect()}
+    assert n == {1: 900, 2: 20_001}
+    assert extract(df, "$" + "[0]" * 300, strategy="walk").count() == 1
+
+
+def test_summaries(docs):
+    got = {r["doc_id"]: r for r in summarise(docs, ["$.a.b[0]", "$.b"], all_paths=True).collect()}
+    assert got[1]["total_paths"] == 10 and got[1]["matches"] == ["$.a.b[0]", "$.b"] and got[1]["success"]
+    assert len(got[1]["all_paths"]) == 10
+    assert got[8]["total_paths"] == 1 and not got[8]["success"]
+    assert 3 not in got and 4 not in got
+    seen = {r["doc_id"]: r["matching_paths"] for r in summarise(docs, "$.a.(b|c).zz", semantics="observed").collect()}
+    assert not any(seen.values())
+    seen = {r["doc_id"]: r["matches"] for r in summarise(docs, "$.a.(b|c)", semantics="observed").collect()}
+    assert seen[1] == ["$.a", "$.a.b"]
+
+
+def test_matching_columns(spark):
+    df = spark.createDataFrame([(["a"] * 30,), (["a"] * 30 + ["b"],), ([],), (None,)], "s array<string>")
+    for expr in ("$.(a|a.a){*}", "$.(a){*}"):
+        assert [r["m"] for r in match(df, expr, segments=F.col("s"), matches_col="m").collect()] == [True, False, True, None]
+    assert [r["m"] for r in match(df, [], segments=F.col("s"), matches_col="m").collect()] == [False, False, False, None]
+    text = spark.createDataFrame([("$.a.b",), ("$.a[0]",)], "p string")
+    assert [r["matches"] for r in match(text, "$.a.(b|c)", path=F.col("p")).collect()] == [True, False]
+    patterns = spark.createDataFrame([("x", "$.a.b"), ("y", "$.(a|b){*}"), ("z", "$.q")], "pattern_id string, expr string")
+    assert sorted(tuple(r) for r in match_which(text, patterns, path=F.col("p")).collect()) == [("$.a.b", "x"), ("$.a.b", "y")]
+    assert match_which(text, patterns.limit(0), path=F.col("p")).count() == 0
+    with pytest.raises(ValueError):
+        match_which(text, patterns, path=F.col("p"), limit=2)
+
+
+def test_validity(spark):
+    got = with_validity(spark.createDataFrame(fixtures.VALIDITY, "json string, want boolean")).collect()
+    assert all(r["valid"] == r["want"] for r in got)
+    assert spark.createDataFrame([(None,)], "j string").select(is_valid(F.col("j"))).collect()[0][0] is False
+
+
+def test_value_functions(spark):
+    df = spark.createDataFrame([(DOC,)], "json string").select(parsed(F.col("json")).alias("v"))
+    got = df.select(value_at(F.col("v"), ["a", "0"], "string"), value_at(F.col("v"), ["a", "b", "1", "c"], "double"), value_at(F.col("v"), ["a", "zz"], "string"), kind_of(value_at(F.col("v"), ["b"]))).collect()[0]
+    assert tuple(got) == ("zero", 1.5, None, "null")
+    assert [r[0] for r in spark.createDataFrame([("7",), ("x",), ("-1",), ("",), (None,)], "s string").select(array_index(F.col("s"))).collect()] == [7, None, None, None, None]
+
+
+def test_formatting(spark):
+    assert formatted('{"b":[1.0,{}],"a":[],"é":"\\n"}') == '{\n  "b": [\n    1.0,\n    {}\n  ],\n  "a": [],\n  "é": "\\n"\n}'
+    got = spark.createDataFrame([('{"a":1}',), ("{",), (None,)], "j string").select(format_json(F.col("j"))).collect()
+    assert [r[0] for r in got] == ['{\n  "a": 1\n}', None, None]
+
+
+trees = st.recursive(st.one_of(st.none(), st.booleans(), st.integers(-9, 9), st.sampled_from(["", "x", "é\n\""])), lambda t: st.one_of(st.lists(t, max_size=3), st.dictionaries(st.sampled_from(["a", "b", "0", "c.d", ""]), t, max_size=3)), max_leaves=12)
+
+
+@given(trees, st.sampled_from(["$", "$.(a|b){*}", '$.(a|b){*}["c.d"]', "$.a[0]", "$[0][1]", "$.b.(a|b[0])"]))
+@settings(max_examples=300, deadline=None)
+def test_walks_equal_a_test_of_every_path(tree, expr):
+    document, a = load(json.dumps(tree)), Automaton([expr])
+    want = sorted((p, dump(v)) for p, s, v in every_path(document) if a.matches(s))
+    assert sorted((p, dump(v)) for p, _, _, v in matching_paths(document, a)) == want
+    assert json.loads(dump(document)) == tree
+
+
+def test_empty_table_and_errors(spark, docs):
+    none = docs.limit(0)
+    assert extract(none, "$.a").count() == extract(none, "$.(a){*}").count() == paths(none).count() == summarise(none, "$").count() == 0
+    assert extract(docs, []).count() == 0
+    for bad in ({"semantics": "x"}, {"array_mode": "x"}, {"strategy": "direct"}):
+        with pytest.raises(ValueError):
+            extract(docs, "$.(a){*}", **bad)
+    with pytest.raises(PathSyntaxError):
+        extract(docs, "a")
+
+
+def test_literal_paths_stay_in_the_engine(docs):
+    plan = extract(docs, "$.a.(b|c)")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Exchange" not in plan
+    assert "Exchange" not in extract(docs, "$.(a|b){*}")._jdf.queryExecution().executedPlan().toString()
