@@ -79,17 +79,24 @@ def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) for the nodes of `edges` (a, b); the root is the least node of what is connected.
 
-    Contraction: each node takes its least neighbour's name, edges are renamed, loops and doubles go; as often as edges are
-    left, a number of rounds that grows with the logarithm of the longest chain. Every round is written by checkpoint().
+    Contraction: each node points to its least neighbour or, being less than all of them, to itself; pointers are followed to
+    their end by doubling; edges are renamed to these ends, loops and doubles go. A round leaves at most half of the nodes
+    that still have edges, and doubling takes the logarithm of the longest way, so rounds stay few on chains too. Every step
+    is written by checkpoint().
     """
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
     both = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     named = both.select("node", F.col("node").alias("root"))
     while not edges.isEmpty():
         ways = edges.select(F.col("a").alias("old"), F.col("b").alias("to")).union(edges.select("b", "a"))
-        least = ways.groupBy("old").agg(F.min("to").alias("to")).select("old", F.least("old", "to").alias("new"))
-        hop = least.select(F.col("old").alias("new"), F.col("new").alias("further"))
-        least = least.join(hop, "new").select("old", F.col("further").alias("new")).checkpoint()
+        least = ways.groupBy("old").agg(F.min("to").alias("to")).select("old", F.least("old", "to").alias("new")).checkpoint()
+        while True:
+            hop = least.select(F.col("old").alias("new"), F.col("new").alias("further"))
+            least = least.join(hop, "new").select("old", F.col("further").alias("new"), (F.col("new") != F.col("further")).alias("moved")).checkpoint()
+            if least.where("moved").isEmpty():
+                break
+            least = least.drop("moved")
+        least = least.drop("moved")
         named = named.join(least, named["root"] == least["old"], "left").select("node", F.coalesce("new", "root").alias("root")).checkpoint()
         a = least.select(F.col("old").alias("a"), F.col("new").alias("na"))
         b = least.select(F.col("old").alias("b"), F.col("new").alias("nb"))
