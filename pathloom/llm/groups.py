@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 SMALL = 24  # longest list whose pairs are all looked at side by side
 
 
-def links_in_lists(keys: np.ndarray, items: np.ndarray, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def links_in_lists(keys: np.ndarray, items: np.ndarray, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], limit: float, maybe: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions (i, j) of links within lists, and whether all pairs of the link's list were looked at.
 
     `keys` is sorted; a list is a run of one key. Items of a list that a chain of steps of at most `limit` joins become
     linked, and only such steps are links. Short lists compare every pair. A long list goes by pivots: all within `limit` of
     the pivot are linked to it; `distance` being a metric, an item at d <= limit from the pivot can only be near items
     between limit and limit + d from it, so all others need no comparison with it. So a large group of close copies costs
-    its size, not its square, and nothing is left out.
+    its size, not its square, and nothing is left out. `maybe` is a cheaper test that every pair within the limit passes; in
+    short lists only pairs that pass it are measured.
     """
     left, right, whole = [], [], []
     n = len(keys)
@@ -30,7 +31,9 @@ def links_in_lists(keys: np.ndarray, items: np.ndarray, distance: Callable[[np.n
     rest = np.repeat(size, size) - (np.arange(n) - np.repeat(start, size)) - 1  # items behind in the same list
     rest[np.repeat(size > SMALL, size)] = 0
     step = 1
-    while (at := np.flatnonzero(rest >= step)).size:
+    while (at := np.flatnonzero(rest >= step)).size:  # pairs that are `step` places apart
+        if maybe is not None:
+            at = at[maybe(items[at], items[at + step])]
         near = distance(items[at], items[at + step]) <= limit
         left.append(at[near])
         right.append(at[near] + step)

@@ -121,17 +121,22 @@ def test_planted_copies_go_and_others_stay(spark):
 
 
 def test_index_recall():
-    """Of pairs at every distance up to the limit, spread as near copies are, at least 0.9 share a key."""
+    """Of pairs at every distance up to the limit nearly all meet in a cut of a list."""
     rng = np.random.default_rng(5)
-    for n in (1000, 1 << 26):
+    for n in (1000, 1 << 26, 1 << 34):
         p = sh.Params()
-        width, keys = sh.plan(n, p)
+        width, lists = sh.plan(n, p)
         a = rng.integers(0, 2**63, (3000, 4), dtype=np.uint64)
         b = a.copy()
         for row in range(3000):
             for bit in rng.choice(256, rng.integers(1, p.bits + 1), replace=False):
                 b[row, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-        assert (sh.index_keys(a, p, width, keys) == sh.index_keys(b, p, width, keys)).any(1).mean() >= 0.9
+        met = sh.meets(a, b, p, width, lists)
+        assert met.any(1).mean() >= 0.95
+        one = (sh.list_keys(a, p, width, lists) == sh.list_keys(b, p, width, lists))[:, :, None]
+        for x in range(0, lists, 7):
+            cut = sh.cut_keys(a, np.full(3000, x), p, width, lists) == sh.cut_keys(b, np.full(3000, x), p, width, lists)
+            assert (met.reshape(3000, lists, -1)[:, x] == (one[:, x] & cut)).all()
 
 
 def test_simhash_odd_rows(odd_docs, no_docs):
@@ -200,5 +205,5 @@ def test_embedding_odd_rows(spark):
 @pytest.mark.parametrize("n", [1, 100, 10**6, 10**10])
 def test_plans_grow_slowly(n):
     assert pi.pivot_count(n, pi.Params()) <= max(128, 2 * n**0.5)
-    width, keys = sh.plan(n, sh.Params())
-    assert 256**width >= n and keys < 1500
+    width, lists = sh.plan(n, sh.Params())
+    assert 256 ** (width + 2) >= n and lists < 300
