@@ -7,9 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pathloom.llm import vocab
+from pathloom.llm.frames import col
 from pathloom.llm.textbatch import Texts, chunks, hashes, pretokens, spread
 
 WIDE = 1024  # leaves from which a word has a tree of its own
@@ -212,9 +212,9 @@ def bpe_encode(docs: DataFrame, vocab_path: str = vocab.DEFAULT_PATH, id_col: st
                     [*(f"c{i}" for i in range(len(cols))), "token_ids", "n_tokens", "decodes_back"],
                 )
 
-    picked = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(cols)), F.col(text_col).alias("text"))
+    picked = docs.select(*(col(c).alias(f"c{i}") for i, c in enumerate(cols)), col(text_col).alias("text"))
     out = picked.mapInArrow(run, f"{schema}, token_ids array<int>, n_tokens bigint, decodes_back boolean")
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(cols)), "token_ids", "n_tokens", "decodes_back")
+    return out.select(*(col(f"c{i}").alias(c) for i, c in enumerate(cols)), "token_ids", "n_tokens", "decodes_back")
 
 
 def bpe_decode(encoded: DataFrame, vocab_path: str = vocab.DEFAULT_PATH, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
@@ -227,5 +227,5 @@ def bpe_decode(encoded: DataFrame, vocab_path: str = vocab.DEFAULT_PATH, id_col:
             texts = [None if ids is None else v.decode(np.asarray(ids, np.int64)).tobytes().decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
-    out = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string")
+    out = encoded.select(col(id_col).alias("id"), col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string")
     return out.withColumnRenamed("id", id_col)

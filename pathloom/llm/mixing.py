@@ -70,7 +70,7 @@ def mix_rates(docs: DataFrame, targets: Mapping[str, float] | None = None, tempe
     columns whose categories keep their tokens. A document's rate is exp of the multipliers of its categories, to six digits; copies are
     the rate's whole part and one more with the probability of the rest, drawn from a hash of the id: no state, the same
     again after a lost task, and equal for rows with one id. A null source is a source of its own, a null id an id of its
-    own; documents of a source without tokens keep rate 1, of one without weight get 0; an empty table stays empty. Columns
+    own; documents of a source without weight get 0, of one that has no tokens to balance 1; an empty table stays empty. Columns
     of `docs` pass through whatever their names, but `names` must be free.
     """
     spark = docs.sparkSession
@@ -98,9 +98,9 @@ def mix_rates(docs: DataFrame, targets: Mapping[str, float] | None = None, tempe
         pairs = [y for c, v in tilt.items() for y in (F.lit(c), F.lit(v))]
         rate = rate + (F.coalesce(F.element_at(F.create_map(*pairs), category(m)), F.lit(0.0)) if pairs else F.lit(0.0))
     rate = F.round(F.exp(rate), 6)
-    none = sorted(set(found[0]) - set(weight))
-    if none:
-        rate = F.when(category(source_col).isin(none), F.lit(0.0)).otherwise(rate)
+    if targets is not None:
+        named = ["null" if name is None else f"={name}" for name, w in targets.items() if w > 0]
+        rate = F.when(category(source_col).isin(named), rate).otherwise(F.lit(0.0))
     draw = F.conv(F.substring(F.md5(F.coalesce(col(id_col).cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     n, r, c = names
     out = docs.select("*", counted.alias(n), rate.alias(r))
