@@ -290,10 +290,11 @@ def extract_pages(model: Model | None, pages: list[str | None]) -> tuple[list[st
     return text, [None if n else len(f) for n, f in zip(none, found)], [None if n else int(k.sum()) for n, k in zip(none, keep)]
 
 
-def train(pages: DataFrame, max_pages: int = 400, max_bytes: int = 100_000, id_col: str = "page_id", html_col: str = "html") -> Model | None:
-    """Fit on at most `max_pages` pages that mark their main part, of at most `max_bytes` each, those with the least hash of their text."""
+def train(pages: DataFrame, max_pages: int = 400, max_bytes: int = 100_000, html_col: str = "html") -> Model | None:
+    """Fit on about `max_pages` of the pages that mark their main part, chosen by a hash of their text, of at most `max_bytes` each."""
     marked = pages.select(col(html_col).alias("html")).where(F.col("html").rlike(r"(?i)<(article|main)\b") & (F.octet_length("html") <= max_bytes))
-    few = marked.orderBy(F.xxhash64("html"), "html").limit(max_pages).toPandas()
+    share = min(1.0, max_pages / max(marked.count(), 1))
+    few = marked.where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().orderBy("html").toPandas()
     return fit([blocks(h) for h in few["html"]])
 
 
@@ -305,7 +306,7 @@ def extract_html(pages: DataFrame, max_pages: int = 400, id_col: str = "page_id"
     content. Equal pages get equal rows, whatever else is in their batch; repeated and null ids stay as they are; an empty
     table gives no row. Other columns are not read.
     """
-    model = train(pages, max_pages, id_col=id_col, html_col=html_col)
+    model = train(pages, max_pages, html_col=html_col)
     shared = pages.sparkSession.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("id", pages.schema[id_col].dataType), T.StructField("text", T.StringType()), T.StructField("n_blocks", T.LongType()), T.StructField("n_content", T.LongType())])
 

@@ -45,16 +45,16 @@ def test_gradients_are_those_of_the_loss():
             assert abs((moved[0] - moved[1]) / 2e-3 - grads[k][at]) < 2e-2 * max(1, abs(grads[k][at]))
 
 
-def test_held_out_accuracy(spark, sf):
+def test_held_out_accuracy(spark):
     """Pages that training has not seen, with the marks of their main part hidden."""
-    pages = [h.blocks(r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").orderBy("page_id").collect()]
-    cut = len(pages) * 2 // 3
+    pages = [h.blocks(r["html"]) for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").orderBy("page_id").limit(900).collect()]
+    cut = 400
     model = h.fit(pages[:cut])
     test = pages[cut:]
     truth = np.array([any(t in h.MAIN for t, _ in b.path) for p in test for b in p])
     parts = np.split(h.vectors(test, np.ones(len(truth), bool)), np.cumsum([len(p) for p in test])[:-1])
     guess = np.concatenate(h.probabilities(model, parts)) >= 0.5
-    assert (guess == truth).mean() > 0.95
+    assert (guess == truth).mean() > 0.99
 
 
 def test_a_page_fares_alike_in_any_batch(spark, sf):
