@@ -27,11 +27,13 @@ def free_name(df: DataFrame, base: str) -> str:
 
 def ready_for_checkpoint(spark: SparkSession) -> None:
     """Let checkpoint() use the folder of spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
-    context = spark.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context.getCheckpointDir():
-        import tempfile
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            import tempfile
 
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def map_texts(docs: DataFrame, keep: list[str], text_col: str, start: Callable[[], Callable[[Texts], list]], made: T.StructType, filtered: bool = False) -> DataFrame:
