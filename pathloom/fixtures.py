@@ -6,19 +6,19 @@ from __future__ import annotations
 MATCHES: list[tuple[tuple[str, ...], tuple[str, ...], bool]] = [
     (patterns, tuple(path.split(".")), expected)
     for patterns, yes, no in (
-        (("$.user.name", "$.user.email", '$.data["key"]'), "user.name user.email data.key", "user.age other.value user"),
-        (("$.node.(child|value)",), "node.child node.value", "node.other other.child"),
-        (('$["quoted-key"]', "$[unquoted]", '$.node["child"]'), "quoted-key unquoted node.child", "node.other wrong"),
-        (("$.node.(child|value).suffix",), "node.child.suffix node.value.suffix", "node.child node.value node.other.suffix node.child.wrong"),
+        (("$.person.title", "$.person.mail", '$.box["code"]'), "person.title person.mail box.code", "person.age other.leaf person"),
+        (("$.item.(next|leaf)",), "item.next item.leaf", "item.other other.next"),
+        (('$["odd-key"]', "$[bare]", '$.item["next"]'), "odd-key bare item.next", "item.other wrong"),
+        (("$.item.(next|leaf).tail",), "item.next.tail item.leaf.tail", "item.next item.leaf item.other.tail item.next.wrong"),
         (
-            ("$.node.(child|value){*}.suffix",),
-            "node.suffix node.child.suffix node.value.suffix node.child.child.suffix node.value.child.suffix node.child.value.child.suffix",
-            "node.child node.other.suffix node.child.other.suffix node.child.suffix.extra",
+            ("$.item.(next|leaf){*}.tail",),
+            "item.tail item.next.tail item.leaf.tail item.next.next.tail item.leaf.next.tail item.next.leaf.next.tail",
+            "item.next item.other.tail item.next.other.tail item.next.tail.extra",
         ),
         (
-            ("$.node.(child|meta.child){*}.value",),
-            "node.value node.child.value node.meta.child.value node.child.child.value node.meta.child.child.value node.child.meta.child.value",
-            "node.child node.meta.value node.other.value",
+            ("$.item.(next|side.next){*}.leaf",),
+            "item.leaf item.next.leaf item.side.next.leaf item.next.next.leaf item.side.next.next.leaf item.next.side.next.leaf",
+            "item.next item.side.leaf item.other.leaf",
         ),
     )
     for paths, expected in ((yes, True), (no, False))
@@ -27,16 +27,16 @@ MATCHES: list[tuple[tuple[str, ...], tuple[str, ...], bool]] = [
 
 # patterns, path, spec, observed: where the two semantics part
 PARTINGS: list[tuple[tuple[str, ...], tuple[str, ...], bool, bool]] = [
-    (("$.node.(child|value).suffix",), ("node", "suffix"), False, True),
+    (("$.item.(next|leaf).tail",), ("item", "tail"), False, True),
     (("$.properties.(name|type)",), ("properties",), False, True),
     (("$.(a|b)",), (), False, True),
     (("$.(a|a.b).c",), ("a", "b", "c"), True, False),
     (("$.(a.b|a).c",), ("a", "b", "c"), True, True),
     (("$.x.(a.(b|c).d)",), ("x", "a", "d"), False, True),
     (("$.x.(a.(b|c).d)",), ("x", "a", "b", "d"), True, False),
-    (("$.node", "$.node.(a|b).c"), ("node", "a"), False, True),
-    (("$.node.(a|b).c", "$.node.x"), ("node", "a", "x"), False, True),
-    (("$.node.c", "$.node.(a|b).c"), ("node", "a", "c"), True, False),
+    (("$.item", "$.item.(a|b).c"), ("item", "a"), False, True),
+    (("$.item.(a|b).c", "$.item.x"), ("item", "a", "x"), False, True),
+    (("$.item.c", "$.item.(a|b).c"), ("item", "a", "c"), True, False),
     (('$["\\"e"]',), ('"e',), True, False),
     (('$["\\"e"]',), ('\\"e',), False, True),
     (("$[*]",), ("*",), True, True),
@@ -46,47 +46,47 @@ PARTINGS: list[tuple[tuple[str, ...], tuple[str, ...], bool, bool]] = [
 # expression, its text, number of segments
 EXPRESSIONS: list[tuple[str, str, int]] = [
     ("$", "$", 0),
-    ("$.node", "$.node", 1),
-    ("$.node.value", "$.node.value", 2),
+    ("$.item", "$.item", 1),
+    ("$.item.leaf", "$.item.leaf", 2),
     ("$[property]", "$[property]", 1),
-    ('$["quoted-name"]', '$["quoted-name"]', 1),
-    ("$.node.(child|value)", "$.node(.child|.value)", 2),
-    ("$.node.(child|meta.child){*}", "$.node(.child|.meta.child){*}", 2),
-    ("$.node.(child|meta.child){*}.value", "$.node(.child|.meta.child){*}.value", 3),
-    ('$.node.(child|meta["child"]){*}.value', '$.node(.child|.meta["child"]){*}.value', 3),
-    ('$.data.(items["key"]["subkey"]|nested.values){*}', '$.data(.items["key"]["subkey"]|.nested.values){*}', 2),
+    ('$["odd-name"]', '$["odd-name"]', 1),
+    ("$.item.(next|leaf)", "$.item(.next|.leaf)", 2),
+    ("$.item.(next|side.next){*}", "$.item(.next|.side.next){*}", 2),
+    ("$.item.(next|side.next){*}.leaf", "$.item(.next|.side.next){*}.leaf", 3),
+    ('$.item.(next|side["next"]){*}.leaf', '$.item(.next|.side["next"]){*}.leaf', 3),
+    ('$.box.(rows["id"]["part"]|inner.cells){*}', '$.box(.rows["id"]["part"]|.inner.cells){*}', 2),
     (" $ . a [x] ", "$.a[x]", 2),
     ("$[]", "$[]", 1),
 ]
 
-BAD_EXPRESSIONS: list[str] = ["", "node.value", '$["unterminated', "$.node.(child|value", "$.node{*}", "$.node.()", "$.(a|)", "$(a)", "$.[a]", "$.0", "$.a-b", '$["a" ]', '$.(["a"])', "$.a{", "$.(a){*x", "$.a\0", "$.a $"]
+BAD_EXPRESSIONS: list[str] = ["", "item.leaf", '$["unterminated', "$.item.(next|leaf", "$.item{*}", "$.item.()", "$.(a|)", "$(a)", "$.[a]", "$.0", "$.a-b", '$["a" ]', '$.(["a"])', "$.a{", "$.(a){*x", "$.a\0", "$.a $"]
 
 TOKENS: list[tuple[str, str]] = [
     ("$", "$ end"),
-    ("$.node", "$ . name end"),
-    ("$.(child|value)", "$ . ( name | name ) end"),
-    ("$.(child){*}", "$ . ( name ) {*} end"),
+    ("$.item", "$ . name end"),
+    ("$.(next|leaf)", "$ . ( name | name ) end"),
+    ("$.(next){*}", "$ . ( name ) {*} end"),
     ('$.a["b c"][d]', "$ . name [...] [...] end"),
 ]
 
 SPLITS: list[tuple[str, tuple[str, ...]]] = [
-    ("$.user.name", ("user", "name")),
-    ("$.users[0].name", ("users", "0", "name")),
-    ("$.data.users[0].contacts[1].email", ("data", "users", "0", "contacts", "1", "email")),
-    ('$.data["property-name"].value', ("data", "property-name", "value")),
+    ("$.person.title", ("person", "title")),
+    ("$.people[0].title", ("people", "0", "title")),
+    ("$.box.people[0].lines[1].mail", ("box", "people", "0", "lines", "1", "mail")),
+    ('$.box["odd-name"].leaf', ("box", "odd-name", "leaf")),
     ("$", ()),
-    ("$.name", ("name",)),
-    ("$.api.responses[0].data.users[2].profile", ("api", "responses", "0", "data", "users", "2", "profile")),
+    ("$.title", ("title",)),
+    ("$.top.replies[0].box.people[2].card", ("top", "replies", "0", "box", "people", "2", "card")),
     ("$.a[]", ("a",)),
     ("$.a[b", ("a", "[", "b")),
     ("a..b", ("a", "b")),
 ]
 
 VALIDITY: list[tuple[str, bool]] = [
-    ('{"name": "John", "age": 30}', True),
-    ('[1, 2, 3, "test"]', True),
-    ('{"name: "John"}', False),
-    ('{"name": "John",}', False),
+    ('{"title": "Ann", "size": 30}', True),
+    ('[1, 2.5, "three"]', True),
+    ('{"title: "Ann"}', False),
+    ('{"title": "Ann",}', False),
     ("", False),
     ("nul", False),
     ("null", True),
@@ -94,8 +94,8 @@ VALIDITY: list[tuple[str, bool]] = [
     ('"text"', True),
 ]
 
-USER = '{"user": {"name": "John", "age": 30, "contacts": [{"type": "email", "value": "john@example.com"}, {"type": "phone", "value": "123-456-7890"}]}}'
-USER_PATHS = ["$", "$.user", "$.user.name", "$.user.age", "$.user.contacts", *(f"$.user.contacts[{i}]{x}" for i in (0, 1) for x in ("", ".type", ".value"))]
+PERSON = '{"person": {"title": "Ann", "size": 30, "lines": [{"kind": "mail", "text": "ann@example.org"}, {"kind": "phone", "text": "555-0100"}]}}'
+PERSON_PATHS = ["$", "$.person", *(f"$.person.{k}" for k in ("title", "size", "lines")), *(f"$.person.lines[{i}]{x}" for i in (0, 1) for x in ("", ".kind", ".text"))]
 
 # keys that a path in text form cannot tell apart
 ODD = '{"a.b": 1, "": {"c": 2}, "x[0]": 3, "say \\"hi\\"": 4, "it\'s": 5, "sl/ash~": 6, "0": [7, {"1": 8}], "é": null, "a": {"b": 9}}'

@@ -53,12 +53,12 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def place_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (c_custkey, json): region, nation and customer as a chain of nodes, `child` and `meta.child` in turn."""
+    """Rows (c_custkey, json): region, nation and customer as a chain of nodes, `next` and `side.next` in turn."""
     customer, nation, region = (_table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     joined = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    leaf = F.struct(F.col("c_name").alias("value"))
-    middle = F.struct(F.col("n_name").alias("value"), F.struct(leaf.alias("child")).alias("meta"))
-    return joined.select("c_custkey", F.to_json(F.struct(F.struct(F.col("r_name").alias("value"), middle.alias("child")).alias("node"))).alias("json"))
+    leaf = F.struct(F.col("c_name").alias("title"))
+    middle = F.struct(F.col("n_name").alias("title"), F.struct(leaf.alias("next")).alias("side"))
+    return joined.select("c_custkey", F.to_json(F.struct(F.struct(F.col("r_name").alias("title"), middle.alias("next")).alias("item"))).alias("json"))
 
 
 def _rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -285,21 +285,21 @@ def orders_third_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     """WITH p AS (SELECT c_custkey, c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
-    SELECT c_custkey, '$.node.value' AS path, r_name AS value FROM p UNION ALL SELECT c_custkey, '$.node.child.value', n_name FROM p
-    UNION ALL SELECT c_custkey, '$.node.child.meta.child.value', c_name FROM p"""
+    SELECT c_custkey, '$.item.title' AS path, r_name AS value FROM p UNION ALL SELECT c_custkey, '$.item.next.title', n_name FROM p
+    UNION ALL SELECT c_custkey, '$.item.next.side.next.title', c_name FROM p"""
 )
 def places_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A repeated group over a recursive structure."""
-    return extract(place_documents(spark, sf_dir), "$.node.(child|meta.child){*}.value", keep=["c_custkey"], value="string").drop("segments")
+    return extract(place_documents(spark, sf_dir), "$.item.(next|side.next){*}.title", keep=["c_custkey"], value="string").drop("segments")
 
 
 @_query(
     """WITH p AS (SELECT c_custkey, c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
-    SELECT c_custkey, '$.node.child.value' AS path, n_name AS value FROM p UNION ALL SELECT c_custkey, '$.node.value', r_name FROM p"""
+    SELECT c_custkey, '$.item.next.title' AS path, n_name AS value FROM p UNION ALL SELECT c_custkey, '$.item.title', r_name FROM p"""
 )
 def places_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The observed semantics, under which a group may be left out."""
-    return extract(place_documents(spark, sf_dir), "$.node.(child|meta.child).value", keep=["c_custkey"], value="string", semantics="observed").drop("segments")
+    return extract(place_documents(spark, sf_dir), "$.item.(next|side.next).title", keep=["c_custkey"], value="string", semantics="observed").drop("segments")
 
 
 @_query(

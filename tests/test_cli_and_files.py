@@ -15,16 +15,16 @@ def run(capsys, *args):
 
 
 def test_parse(capsys):
-    code, out = run(capsys, "parse", "-j", "$.node.(child|meta.child){*}.value")
+    code, out = run(capsys, "parse", "-j", "$.item.(next|side.next){*}.leaf")
     assert code == 0
-    assert json.loads(out) == {"expression": "$.node.(child|meta.child){*}.value", "parsed": "$.node(.child|.meta.child){*}.value", "root": "$", "segment_count": 3, "segments": [".node", "(.child|.meta.child){*}", ".value"]}
-    assert main(["parse", "node"]) == 1
+    assert json.loads(out) == {"expression": "$.item.(next|side.next){*}.leaf", "parsed": "$.item(.next|.side.next){*}.leaf", "root": "$", "segment_count": 3, "segments": [".item", "(.next|.side.next){*}", ".leaf"]}
+    assert main(["parse", "item"]) == 1
 
 
 def test_test(capsys, tmp_path):
-    code, out = run(capsys, "test", "-j", "-v", "$.user.contacts[0].type", fixtures.USER)
+    code, out = run(capsys, "test", "-j", "-v", "$.person.lines[0].kind", fixtures.PERSON)
     result = json.loads(out)
-    assert code == 0 and result["total_paths"] == 11 and result["matches"] == ["$.user.contacts[0].type"] and len(result["all_paths"]) == 11
+    assert code == 0 and result["total_paths"] == 11 and result["matches"] == ["$.person.lines[0].kind"] and len(result["all_paths"]) == 11
     (tmp_path / "d.json").write_text('{"a": {"b": 1}}')
     assert run(capsys, "test", "-q", "$.a.zz", f"@{tmp_path}/d.json") == (1, "")
     assert run(capsys, "test", "$.a.b", "-f", f"{tmp_path}/d.json")[0] == 0

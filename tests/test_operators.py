@@ -17,7 +17,7 @@ DOC = '{"a": {"b": [1, {"c": 1.50}, [2]], "0": "zero"}, "b": null}'
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(1, DOC), (2, fixtures.USER), (3, "{bad"), (4, None), (5, ""), (6, "7"), (7, '{"a": "\\ud83d\\ude00 é \\ud800"}'), (1, DOC), (None, '{"a": 1}'), (8, "[]"), (9, '{"x": {}} tail')]
+    rows = [(1, DOC), (2, fixtures.PERSON), (3, "{bad"), (4, None), (5, ""), (6, "7"), (7, '{"a": "\\ud83d\\ude00 é \\ud800"}'), (1, DOC), (None, '{"a": 1}'), (8, "[]"), (9, '{"x": {}} tail')]
     return spark.createDataFrame(rows, "doc_id int, json string")
 
 
@@ -50,19 +50,19 @@ def test_recursive_paths_agree(docs):
 
 def test_paths_of_a_document(docs):
     got = [r["path"] for r in paths(docs.where("doc_id = 2")).collect()]
-    assert sorted(got) == sorted(fixtures.USER_PATHS)
+    assert sorted(got) == sorted(fixtures.PERSON_PATHS)
 
 
 def test_values(docs):
     two = docs.where("doc_id = 2")
-    assert [r["value"] for r in extract(two, "$.user.name", value="string").collect()] == ["John"]
-    assert json.loads(extract(two, "$.user").collect()[0]["value"]) == json.loads(fixtures.USER)["user"]
-    assert extract(two, "$.user.contacts[1].type", value="string").collect()[0]["value"] == "phone"
-    assert extract(two, ["$.user.nonexistent", "$.user.contacts[5].type", "$.user.name.x"]).count() == 0
-    assert sorted(r["value"] for r in extract(two, "$.user.contacts.type", value="string", array_mode="elementwise").collect()) == ["email", "phone"]
-    assert extract(two, "$.user.contacts.type").count() == 0
-    assert extract(two, "$.user.name", value="int").collect()[0]["value"] is None
-    assert [tuple(r)[1:3] for r in extract(two, ["$.user.(age|name)", "$.user.age"], which=True).orderBy("pattern_id", "path").collect()] == [(0, "$.user.age"), (0, "$.user.name"), (1, "$.user.age")]
+    assert [r["value"] for r in extract(two, "$.person.title", value="string").collect()] == ["Ann"]
+    assert json.loads(extract(two, "$.person").collect()[0]["value"]) == json.loads(fixtures.PERSON)["person"]
+    assert extract(two, "$.person.lines[1].kind", value="string").collect()[0]["value"] == "phone"
+    assert extract(two, ["$.person.nonexistent", "$.person.lines[5].kind", "$.person.title.x"]).count() == 0
+    assert sorted(r["value"] for r in extract(two, "$.person.lines.kind", value="string", array_mode="elementwise").collect()) == ["mail", "phone"]
+    assert extract(two, "$.person.lines.kind").count() == 0
+    assert extract(two, "$.person.title", value="int").collect()[0]["value"] is None
+    assert [tuple(r)[1:3] for r in extract(two, ["$.person.(size|title)", "$.person.size"], which=True).orderBy("pattern_id", "path").collect()] == [(0, "$.person.size"), (0, "$.person.title"), (1, "$.person.size")]
 
 
 def test_json_null_is_a_value(docs):
