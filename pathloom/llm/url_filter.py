@@ -26,8 +26,8 @@ class Params:
     """
 
     order: int = 4
-    gram_bits: int = 17
-    context_bits: int = 15
+    gram_bits: int = 18
+    context_bits: int = 17
     prior: float = 2.0
     bins: int = 200
 
