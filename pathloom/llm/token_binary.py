@@ -129,6 +129,7 @@ def token_shards(docs: DataFrame, vocab_path: str = vocab.DEFAULT_PATH, shard_to
         names: list[pa.Array] = []
         parts: list[np.ndarray] = []
         sizes: list[int] = [0]
+        total = 0
 
         def shard() -> pa.RecordBatch:
             held = pa.concat_arrays(names)
@@ -149,12 +150,12 @@ def token_shards(docs: DataFrame, vocab_path: str = vocab.DEFAULT_PATH, shard_to
                 start = 0
                 for i in range(len(texts)):
                     tokens = encoder.encode_to_numpy(texts.document(i).decode("utf-8", "replace"), disallowed_special=())
-                    if sizes[1:] and sum_tokens + len(tokens) > shard_tokens:
+                    if len(sizes) > 1 and total + len(tokens) > shard_tokens:
                         names.append(ids.slice(start, i - start))
                         yield shard()
                         made, start = made + 1, i
-                        names, parts, sizes = [], [], [0]
-                    sum_tokens = len(tokens) if len(sizes) == 1 else sum_tokens + len(tokens)
+                        names, parts, sizes, total = [], [], [0], 0
+                    total += len(tokens)
                     parts.append(tokens.astype(f"<u{width}"))
                     sizes.append(len(tokens))
                 names.append(ids.slice(start))
