@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -15,18 +14,19 @@ from pyspark.sql import types as T
 
 from pathloom.llm.frames import col, ready_for_checkpoint
 from pathloom.llm.groups import components, links_in_lists, whole_lists
+from pathloom.llm.textbatch import tidy
 
 
 @dataclass(frozen=True)
 class Params:
     """cosine: least similarity of a pair. near: how many nearest pivots describe a vector. shared: how many two vectors of a
-    candidate pair have in common; they meet in the list of any two of these. least_pivots, per_root: see `pivot_count`."""
+    candidate pair have in common at least, 1 or 2. least_pivots, per_root: see `pivot_count`."""
 
     cosine: float = 0.9
     near: int = 7
     shared: int = 2
     least_pivots: int = 128
-    per_root: float = 1.0
+    per_root: float = 2.0
     seed: int = 5
 
 
@@ -47,16 +47,29 @@ def permutations(x: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, near), np.int64)
 
 
-def list_keys(perm: np.ndarray, shared: int) -> np.ndarray:
-    """A key for each set of `shared` pivots of each description: the lists in which vectors with so many in common meet."""
-    perm = np.sort(perm, axis=1)
-    cols = []
-    for pick in combinations(range(perm.shape[1]), min(shared, perm.shape[1])):
-        key = np.zeros(len(perm), np.int64)
-        for c in pick:
-            key = key << 20 | perm[:, c] + 1
-        cols.append(key)
-    return np.stack(cols, 1)
+def lists_of(perm: np.ndarray, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pivots in order of their numbers, and how many of them name the lists that a vector is in.
+
+    Two vectors with at least `shared` pivots in common have one among the first len - shared + 1 of both.
+    """
+    return np.sort(perm, axis=1), max(1, perm.shape[1] - shared + 1)
+
+
+def cuts(lists: tuple[np.ndarray, np.ndarray], pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a table of lists, each as often as it has pivots behind that of its list, sorted by list and such a pivot.
+
+    lists: number of the list of each row and its pivot; the rows that share a value of the returned key have both pivots.
+    """
+    number, own = lists
+    row, slot = np.nonzero(pivots > own[:, None])
+    key = number[row] << 32 | pivots[row, slot]
+    order = np.argsort(key, kind="stable")
+    return key[order], row[order]
+
+
+def alike(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
+    """Whether unit vectors may be as similar, in single precision with a margin for its errors."""
+    return np.einsum("ij,ij->i", a, b) >= cosine - 1e-4
 
 
 def angle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -99,27 +112,39 @@ def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def links(distinct: DataFrame, n: int, dim: int, p: Params) -> DataFrame:
-    """Links (a, b) between n distinct unit vectors: those that meet in a list for `shared` pivots and are similar enough."""
+    """Links (a, b) between n distinct unit vectors: those that have pivots in common and are similar enough.
+
+    The index is by pivot; a row travels to each list. Where a list comes together it is cut up by a second pivot, so that
+    only vectors with two pivots in common are compared.
+    """
     picked = distinct.orderBy(F.xxhash64("v", F.lit(p.seed)), "v").limit(pivot_count(n, p)).select("v").collect()
     pivots = distinct.sparkSession.sparkContext.broadcast(np.stack([np.frombuffer(r[0], np.float32) for r in picked]))  # sqrt(n) vectors
-    limit = math.acos(p.cosine)
+    limit, near = math.acos(p.cosine), min(p.near, len(picked))
+    shared = min(p.shared, near)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _rows(batch.column(0), dim)
-            for s in range(0, len(x), 500):
-                part = x[s : s + 500]
-                keys = list_keys(permutations(part, pivots.value, p.near), p.shared)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), _binary(np.repeat(part, keys.shape[1], 0))], ["key", "v"])
+            for s in range(0, len(x), 1000):
+                part = x[s : s + 1000]
+                perm, first = lists_of(permutations(part, pivots.value, near), shared)
+                both = np.concatenate([part, perm.astype(np.int32).view(np.float32)], 1)  # a vector and its pivots travel together
+                yield pa.RecordBatch.from_arrays([pa.array(perm[:, :first].ravel().astype(np.int64)), _binary(np.repeat(both, first, 0))], ["key", "v"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_lists(batches):
-            key, x = table.column(0).to_numpy(), _rows(table.column(1), dim)
-            i, j, whole = links_in_lists(key, x, angle, limit)
-            yield pa.RecordBatch.from_arrays([_binary(x[i]), _binary(x[j])], ["a", "b"])
-
-    posted = distinct.select("v").mapInArrow(post, "key bigint, v binary")
-    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a binary, b binary").distinct()
+            own, both = table.column(0).to_numpy(), _rows(table.column(1), dim + near)
+            x, perm = both[:, :dim], np.ascontiguousarray(both[:, dim:]).view(np.int32).astype(np.int64)
+            number = np.cumsum(np.concatenate([[0], own[1:] != own[:-1]])) if len(own) else own
+            if shared == 1:
+                key, row = number, np.arange(len(own))
+            else:
+                key, row = cuts((number, own), perm)
+            i, j, _ = links_in_lists(key, row, lambda a, b: angle(x[a], x[b]), limit, maybe=lambda a, b: alike(x[a], x[b], p.cosine))
+            yield pa.RecordBatch.from_arrays([_binary(x[row[i]]), _binary(x[row[j]])], ["a", "b"])
+
+    posted = distinct.select("v").mapInArrow(tidy(post), "key bigint, v binary")
+    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(join), "a binary, b binary").distinct()
 
 
 def near_groups(vectors: DataFrame, p: Params = Params(), id_col: str = "vec_id", vec_col: str = "embedding", group_col: str = "group_id") -> DataFrame:
