@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from pathloom.llm import vocab
 from pathloom.llm.frames import col
-from pathloom.llm.textbatch import Texts, chunks, hashes, pretokens, spread
+from pathloom.llm.textbatch import Texts, chunks, hashes, pretokens, spread, tidy
 
 WIDE = 1024  # leaves from which a word has a tree of its own
 CELLS = 1 << 19  # tree nodes at work at once
@@ -213,7 +213,7 @@ def bpe_encode(docs: DataFrame, vocab_path: str = vocab.DEFAULT_PATH, id_col: st
                 )
 
     picked = docs.select(*(col(c).alias(f"c{i}") for i, c in enumerate(cols)), col(text_col).alias("text"))
-    out = picked.mapInArrow(run, f"{schema}, token_ids array<int>, n_tokens bigint, decodes_back boolean")
+    out = picked.mapInArrow(tidy(run), f"{schema}, token_ids array<int>, n_tokens bigint, decodes_back boolean")
     return out.select(*(col(f"c{i}").alias(c) for i, c in enumerate(cols)), "token_ids", "n_tokens", "decodes_back")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.llm.textbatch import Texts, chunks
+from pathloom.llm.textbatch import CHUNK_BYTES, Texts, chunks, tidy
 
 
 def col(name: str) -> Column:
@@ -36,11 +36,12 @@ def ready_for_checkpoint(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(folder)
 
 
-def map_texts(docs: DataFrame, keep: list[str], text_col: str, start: Callable[[], Callable[[Texts], list]], made: T.StructType, filtered: bool = False) -> DataFrame:
+def map_texts(docs: DataFrame, keep: list[str], text_col: str, start: Callable[[], Callable[[Texts], list]], made: T.StructType, filtered: bool = False, limit: int = CHUNK_BYTES) -> DataFrame:
     """Columns `keep` of each row and what is made of its text.
 
     start() runs once in a task; what it returns gets a run of whole documents and returns one array for each field of
-    `made`, and if `filtered` one more, of booleans, that tells which rows stay. Inside, columns have neutral names.
+    `made`, and if `filtered` one more, of booleans, that tells which rows stay. A run has about `limit` bytes, or one longer
+    document. Inside, columns have neutral names.
     """
     fields = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
     fields += [T.StructField(f"m{i}", f.dataType) for i, f in enumerate(made.fields)]
@@ -53,11 +54,11 @@ def map_texts(docs: DataFrame, keep: list[str], text_col: str, start: Callable[[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            for texts in chunks(batch.column(at)):
+            for texts in chunks(batch.column(at), limit):
                 new = work(texts)
                 arrays = [batch.column(i).slice(texts.first_row, len(texts)) for i in range(n)]
                 arrays += [x if isinstance(x, pa.Array) else pa.array(x) for x in new[: len(made.fields)]]
                 out = pa.RecordBatch.from_arrays(arrays, names)
                 yield out.filter(pa.array(new[-1], pa.bool_())) if filtered else out
 
-    return docs.select(*picked).mapInArrow(run, T.StructType(fields)).toDF(*keep, *(f.name for f in made.fields))
+    return docs.select(*picked).mapInArrow(tidy(run), T.StructType(fields)).toDF(*keep, *(f.name for f in made.fields))

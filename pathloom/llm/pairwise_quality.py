@@ -138,13 +138,14 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, id_col
         return lambda texts: [list(features(texts))]
 
     made = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))])
-    rows = map_texts(few.dropna(), ["id", "label"], "text", start, made).groupBy("id").agg(F.min("label").alias("label"), F.min("x").alias("x")).orderBy("id").toPandas()
+    rows = map_texts(few.dropna(), ["id", "label"], "text", start, made, limit=CHUNK).groupBy("id").agg(F.min("label").alias("label"), F.min("x").alias("x")).orderBy("id").toPandas()
     if not len(rows):
         return None
     return fit(np.stack(rows["x"]), rows["label"].to_numpy() == 1)
 
 
 BINS = 1000  # a unit of score
+CHUNK = 2 << 20  # bytes at work at once
 
 
 def _scored(docs: DataFrame, model: Model, text_col: str, keep: list[str], names: list[str], limit: float | None = None) -> DataFrame:
@@ -157,7 +158,7 @@ def _scored(docs: DataFrame, model: Model, text_col: str, keep: list[str], names
 
         return work
 
-    return map_texts(docs, keep, text_col, start, T.StructType([T.StructField(n, T.DoubleType()) for n in names]), filtered=True)
+    return map_texts(docs, keep, text_col, start, T.StructType([T.StructField(n, T.DoubleType()) for n in names]), filtered=True, limit=CHUNK)
 
 
 def threshold(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[float, float]:

@@ -5,14 +5,15 @@ Everything works on one flat byte buffer with document offsets, so no Python str
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20  # arrays of some ten bytes for each byte of a chunk are at work at once
 LONG_WORD = 256  # bytes; longer words are hashed one by one
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 _U = np.uint64
@@ -207,6 +208,19 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return out
 
 
+def tidy(run: Callable) -> Callable:
+    """The function of a task; when it ends, memory that its Python worker holds on to for later goes back to the system."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... of each run, all runs one after another."""
     total = int(counts.sum())

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from pathloom.llm import vocab
 from pathloom.llm.frames import col
-from pathloom.llm.textbatch import chunks
+from pathloom.llm.textbatch import chunks, tidy
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SAMPLE = 256  # every so many ones of the upper part have their place written down
@@ -162,4 +162,4 @@ def token_shards(docs: DataFrame, vocab_path: str = vocab.DEFAULT_PATH, shard_to
         if len(sizes) > 1:
             yield shard()
 
-    return docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(tidy(run), schema)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from pathloom.llm import vocab
 from pathloom.llm.frames import col
-from pathloom.llm.textbatch import Texts, chunks, hashes, pretokens, spread
+from pathloom.llm.textbatch import Texts, chunks, hashes, pretokens, spread, tidy
 
 
 def merge_ranks(v: vocab.Vocab, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -96,5 +96,5 @@ def token_counts(docs: DataFrame, vocab_path: str = vocab.DEFAULT_PATH, id_col:
                 null = ~texts.valid
                 yield pa.RecordBatch.from_arrays([ids, pa.array(tokens, mask=null), pa.array(pieces, mask=null)], ["id", "n_tokens", "n_pretokens"])
 
-    out = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, n_pretokens bigint")
+    out = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, n_tokens bigint, n_pretokens bigint")
     return out.withColumnRenamed("id", id_col)
