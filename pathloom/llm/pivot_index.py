@@ -19,14 +19,18 @@ from pathloom.llm.textbatch import tidy
 
 @dataclass(frozen=True)
 class Params:
-    """cosine: least similarity of a pair. near: how many nearest pivots describe a vector. shared: how many two vectors of a
-    candidate pair have in common at least, 1 or 2. least_pivots, per_root: see `pivot_count`."""
+    """cosine: least similarity of a pair. near: how many nearest pivots describe a vector at least, widest: up to how many
+    before there are fewer pivots instead. shared: how many two vectors of a candidate pair have in common at least, 1 or 2.
+    least_pivots, per_root: see `pivot_count`. recall, probes: see `fitted`."""
 
     cosine: float = 0.9
     near: int = 7
+    widest: int = 32
     shared: int = 2
     least_pivots: int = 128
     per_root: float = 2.0
+    recall: float = 0.95
+    probes: int = 512
     seed: int = 5
 
 
@@ -35,8 +39,50 @@ def pivot_count(n: int, p: Params) -> int:
     return min(n, max(p.least_pivots, math.ceil(p.per_root * math.sqrt(n))))
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; a row of zeros stays."""
+    return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-12)
+
+
+def probe_pairs(x: np.ndarray, cosine: float, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors and partners at exactly `cosine` from them: one set parted in directions in which the data spread, one in any."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for away in (x[rng.permutation(len(x))] - x.mean(0), rng.normal(size=x.shape)):
+        away = _unit(away - np.einsum("ij,ij->i", away, x)[:, None] * x)
+        out.append((x, cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * away))
+    return out
+
+
+def fitted(picked: np.ndarray, n: int, p: Params) -> tuple[np.ndarray, np.ndarray, int]:
+    """Centre of the vectors, pivots (centred unit vectors) and how many nearest ones describe each of n vectors.
+
+    Vectors that lie close together would all have the same few pivots in other orders, so ranks are of what is left without
+    the centre. More pivots and closer vectors need more of the nearest ones: as many are taken as let at least `recall` of
+    pairs at exactly the limit become candidates, tried on vectors of the table itself that are no pivots. Where `widest`
+    do not suffice, pivots are halved, down to where every pair is a candidate. picked: a random sample, the pivots first.
+    """
+    count = min(pivot_count(n, p), len(picked))
+    centre = picked.mean(0, dtype=np.float64)
+    probes = picked[count : count + p.probes].astype(np.float64)
+    pairs = probe_pairs(probes if len(probes) >= 64 else picked[: p.probes].astype(np.float64), p.cosine, p.seed)
+    while True:
+        pivots = _unit(picked[:count] - centre)
+        ranked = [(permutations(x - centre, pivots, p.widest), permutations(y - centre, pivots, p.widest)) for x, y in pairs]
+        for near in range(min(p.near, count), min(p.widest, count) + 1):
+            shared = min(p.shared, near)
+            if all((shared_pivots(a[:, :near], b[:, :near]) >= shared).mean() >= p.recall for a, b in ranked):
+                return centre.astype(np.float32), pivots.astype(np.float32), near
+        count = max(count // 2, min(p.widest, count))
+
+
+def shared_pivots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many pivots the two descriptions in each row have in common."""
+    return (a[:, :, None] == b[:, None, :]).sum((1, 2))
+
+
 def permutations(x: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
-    """Numbers of the nearest pivots of each unit vector, nearest first; ties by the pivot's number."""
+    """Numbers of the nearest pivots of each vector, nearest first; ties by the pivot's number."""
     out = []
     for s in range(0, len(x), 2000):
         sim = x[s : s + 2000] @ pivots.T
@@ -117,9 +163,10 @@ def links(distinct: DataFrame, n: int, dim: int, p: Params) -> DataFrame:
     The index is by pivot; a row travels to each list. Where a list comes together it is cut up by a second pivot, so that
     only vectors with two pivots in common are compared.
     """
-    picked = distinct.orderBy(F.xxhash64("v", F.lit(p.seed)), "v").limit(pivot_count(n, p)).select("v").collect()
-    pivots = distinct.sparkSession.sparkContext.broadcast(np.stack([np.frombuffer(r[0], np.float32) for r in picked]))  # sqrt(n) vectors
-    limit, near = math.acos(p.cosine), min(p.near, len(picked))
+    picked = distinct.orderBy(F.xxhash64("v", F.lit(p.seed)), "v").limit(pivot_count(n, p) + p.probes).select("v").collect()
+    centre, chosen, near = fitted(np.stack([np.frombuffer(r[0], np.float32) for r in picked]), n, p)
+    pivots = distinct.sparkSession.sparkContext.broadcast(chosen)  # sqrt(n) vectors
+    limit = math.acos(p.cosine)
     shared = min(p.shared, near)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +174,7 @@ def links(distinct: DataFrame, n: int, dim: int, p: Params) -> DataFrame:
             x = _rows(batch.column(0), dim)
             for s in range(0, len(x), 1000):
                 part = x[s : s + 1000]
-                perm, first = lists_of(permutations(part, pivots.value, near), shared)
+                perm, first = lists_of(permutations(part - centre, pivots.value, near), shared)
                 both = np.concatenate([part, perm.astype(np.int32).view(np.float32)], 1)  # a vector and its pivots travel together
                 yield pa.RecordBatch.from_arrays([pa.array(perm[:, :first].ravel().astype(np.int64)), _binary(np.repeat(both, first, 0))], ["key", "v"])
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -183,6 +184,50 @@ def test_embedding_recall_against_brute_force(spark):
     assert len(group) == len(x)
 
 
+def concentrated(rng, n, mean, dim=64):
+    """Unit vectors of about the mean cosine `mean` to each other."""
+    z = rng.normal(size=(n, dim))
+    x = np.sqrt(mean) * np.eye(dim)[0] + np.sqrt(1 - mean) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def at_limit(rng, x, cosine=0.9):
+    """A partner of each unit vector at exactly that cosine."""
+    g = rng.normal(size=x.shape)
+    g -= (g * x).sum(1, keepdims=True) * x
+    return cosine * x + np.sqrt(1 - cosine**2) * g / np.linalg.norm(g, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("n", [4000, 100_000, 5_000_000, 100_000_000])
+@pytest.mark.parametrize("mean", [0.0, 0.5, 0.7])
+def test_recall_at_the_limit(n, mean):
+    """Pairs at exactly the limit that become candidates, whatever the size and however close the vectors are to each other."""
+    rng, p = np.random.default_rng(8), pi.Params()
+    centre, pivots, near = pi.fitted(concentrated(rng, pi.pivot_count(n, p) + p.probes, mean).astype(np.float32), n, p)
+    x = concentrated(rng, 1000, mean)
+    a, b = (pi.permutations(v - centre, pivots, near) for v in (x, at_limit(rng, x)))
+    assert (pi.shared_pivots(a, b) >= p.shared).mean() >= 0.9
+
+
+@pytest.mark.parametrize("mean", [0.9, 0.97])
+def test_very_close_vectors_are_all_compared(mean):
+    rng, p = np.random.default_rng(8), pi.Params()
+    centre, pivots, near = pi.fitted(concentrated(rng, 5000, mean).astype(np.float32), 5_000_000, p)
+    x = concentrated(rng, 1000, mean)
+    a, b = (pi.permutations(v - centre, pivots, near) for v in (x, at_limit(rng, x)))
+    assert near <= p.widest and (pi.shared_pivots(a, b) >= p.shared).mean() >= 0.9
+
+
+def test_isolated_pairs_of_concentrated_vectors(spark):
+    """End to end: groups of two at the limit, among vectors as close to each other as those of encoders."""
+    rng = np.random.default_rng(4)
+    x = concentrated(rng, 20_000, 0.7)
+    y = at_limit(rng, x[:400], 0.9001)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(20_400), "embedding": list(np.concatenate([x, y]))}))
+    group = dict(map(tuple, pi.near_groups(df).collect()))
+    assert np.mean([group[i] == group[20_000 + i] for i in range(400)]) >= 0.9
+
+
 def test_embedding_query(spark, sf):
     rows = queries()["op6_embedding_dedup"](spark, sf).collect()
     table = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
