@@ -11,18 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.llm.frames import col, map_texts
-from pathloom.llm.textbatch import Texts, chunks, mix
+from pathloom.llm.frames import col, ready_for_checkpoint
+from pathloom.llm.textbatch import Texts, chunks, tidy
 
 REJECTED_HOSTS = r"(?i)^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#]*[.-])?(?:ads|adult|bets?|casino|escorts?|pills|porn|spam|viagra|warez|xxx)(?:[.-][^/?#]*)?(?:[/?#:]|$)"
-_U = np.uint64
 
 
 @dataclass(frozen=True)
 class Params:
-    """order: longest context in bytes; slots: places in the count tables of each order, so that the models' size is fixed.
+    """order: longest context in bytes, at most 6. prior: how many observations the shorter context is worth.
 
-    prior: how many observations the shorter context is worth. bins: score steps in a unit when calibrating.
+    bins: score steps in a unit when calibrating. frequent: how many of the most frequent grams are scored where URLs are read;
+    all others are joined. gram_bits, context_bits: without effect, as counts are exact and have no places to share.
     """
 
     order: int = 4
@@ -30,105 +30,150 @@ class Params:
     context_bits: int = 17
     prior: float = 2.0
     bins: int = 200
+    frequent: int = 1 << 16
 
 
-def places(texts: Texts, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of each position's gram and context, one row for each order, and the URL of each position.
+def keys(texts: Texts, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of each position, and the URL of each position.
 
-    A URL is read byte by byte with an end sign; before its start there are start signs.
+    A URL is read byte by byte with an end sign; before its start there are start signs. A gram is a number of order + 1
+    bytes: the character is the lowest, the bytes before it follow; so its last bytes are the gram of a shorter context.
     """
     n, k = len(texts), p.order
     size = np.diff(texts.offsets)
     width = size + k + 1
     begin = np.cumsum(width) - width
-    flat = np.full(int(width.sum()), 2, np.uint64)
+    flat = np.full(int(width.sum()), 2, np.int64)
     owner = np.repeat(np.arange(n), size)
     flat[np.arange(len(texts.data)) - texts.offsets[owner] + begin[owner] + k] = texts.data
     flat[begin + k + size] = 3
     at = np.arange(len(flat))
     at = at[at - np.repeat(begin, width) >= k]
-    grams, contexts = np.zeros((k + 1, len(at)), np.int64), np.zeros((k + 1, len(at)), np.int64)
-    h = np.full(len(at), _U(0x51ED270B))
+    out = np.zeros(len(at), np.int64)
     for o in range(k + 1):
-        if o:
-            h = mix(h ^ (flat[at - o] + _U(o << 8)))
-        contexts[o] = (h >> _U(64 - p.context_bits)).astype(np.int64) + (o << p.context_bits)
-        grams[o] = (mix(h ^ (flat[at] + _U(1 << 20))) >> _U(64 - p.gram_bits)).astype(np.int64) + (o << p.gram_bits)
-    return grams, contexts, np.repeat(np.arange(n), size + 1)
+        out |= flat[at - o] << 8 * o
+    return out, np.repeat(np.arange(n), size + 1)
 
 
-@dataclass(frozen=True)
-class Model:
-    """Counts of grams and contexts for accepted (0) and rejected (1) URLs."""
+def _mask(order: int) -> int:
+    return (1 << 8 * (order + 1)) - 1
 
-    grams: np.ndarray
-    contexts: np.ndarray
 
-    def scores(self, texts: Texts, p: Params) -> np.ndarray:
-        """Mean over the characters of ln p(accepted) - ln p(rejected); each order is smoothed by the one below it."""
-        grams, contexts, owner = places(texts, p)
-        log = []
-        for c in (0, 1):
-            prob = np.full(grams.shape[1], 1 / 256)
-            for o in range(p.order + 1):
-                prob = (self.grams[c, grams[o]] + p.prior * prob) / (self.contexts[c, contexts[o]] + p.prior)
-            log.append(np.log(prob))
-        total = np.bincount(owner, log[0] - log[1], len(texts))
-        return total / np.bincount(owner, minlength=len(texts))
+def _of_order(grams: DataFrame, order: int) -> DataFrame:
+    """Rows (key, context, good, bad) of the grams with a context of that many bytes."""
+    short = F.col("key").bitwiseAND(F.lit(_mask(order)))
+    return grams.groupBy(short.alias("key")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("context", F.shiftright("key", 8))
 
 
-def _labelled(pages: DataFrame, url_col: str, rejected: Column) -> DataFrame:
-    return pages.select(F.lower(col(url_col)).alias("url"), rejected.alias("bad")).where("url is not null and bad is not null")
+def _totals(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("context").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
 
 
-def train(pages: DataFrame, url_col: str, rejected: Column, p: Params = Params()) -> Model | None:
-    """Both models' counts over every URL; None if one kind is missing.
+@dataclass(frozen=True)
+class Model:
+    """Exact counts (key, good, bad) of every gram of the table in accepted and in rejected URLs."""
+
+    grams: DataFrame
+
+    def ratios(self, p: Params) -> DataFrame:
+        """Rows (key, n, ratio): ln p(accepted) - ln p(rejected) of every gram; each order is smoothed by the one below it."""
+        below = None
+        for o in range(p.order + 1):
+            counts = _of_order(self.grams, o)
+            rows = counts.join(_totals(counts), "context")
+            under = [F.lit(1 / 256), F.lit(1 / 256)]
+            if below is not None:
+                rows = rows.withColumn("shorter", F.col("key").bitwiseAND(F.lit(_mask(o - 1)))).join(below.withColumnRenamed("key", "shorter"), "shorter")
+                under = [F.col("p_good"), F.col("p_bad")]
+            smooth = [(F.col(x) + p.prior * u) / (F.col(f"all_{x}") + p.prior) for x, u in zip(("good", "bad"), under)]
+            below = rows.select("key", (F.col("good") + F.col("bad")).alias("n"), *(x.alias(name) for x, name in zip(smooth, ("p_good", "p_bad"))))
+            below = below if o == p.order else below.drop("n")
+        return below.select("key", "n", (F.log("p_good") - F.log("p_bad")).alias("ratio"))
 
-    Tasks add up dense tables and send the filled places on; Spark sums them by place. What comes to the driver is bounded by
-    the tables' size, 2 * (order + 1) * (2 ** gram_bits + 2 ** context_bits) places, however many URLs there are.
-    """
-    size = [(p.order + 1) << p.gram_bits, (p.order + 1) << p.context_bits]
+    def scores(self, texts: Texts, p: Params) -> np.ndarray:
+        """Mean of the ratios over the characters of a few URLs, which need not be of the table."""
+        gram, owner = keys(texts, p)
+        probs = np.full((2, len(gram)), 1 / 256)
+        for o in range(p.order + 1):
+            short = gram & _mask(o)
+            counts = _of_order(self.grams, o)
+            for table, key, name, wanted in ((counts, "key", "", short), (_totals(counts), "context", "all_", short >> 8)):
+                asked = self.grams.sparkSession.createDataFrame([(int(x),) for x in np.unique(wanted)], f"{key} bigint")
+                found = {r[0]: r[1:] for r in table.join(F.broadcast(asked), key).select(key, f"{name}good", f"{name}bad").collect()}
+                seen = np.array([found.get(x, (0, 0)) for x in wanted.tolist()], float).reshape(-1, 2).T
+                probs = seen + p.prior * probs if key == "key" else probs / (seen + p.prior)
+        log = np.log(probs)
+        return np.bincount(owner, log[0] - log[1], len(texts)) / np.bincount(owner, minlength=len(texts))
+
+
+def _urls(pages: DataFrame, url_col: str, rejected: Column) -> DataFrame:
+    """Rows (no, url, good, bad): each URL in lower case, and how many of its rows are labelled as accepted and as rejected."""
+    ready_for_checkpoint(pages.sparkSession)
+    rows = pages.select(F.lower(col(url_col)).alias("url"), rejected.alias("bad")).where("url is not null")
+    each = rows.groupBy("url").agg(F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad"))
+    return each.select(F.monotonically_increasing_id().alias("no"), "url", "good", "bad").checkpoint()
+
+
+def _fit(urls: DataFrame, p: Params) -> Model | None:
+    """Counts over every URL, those without a label included with 0; None if one kind is missing."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((2, sum(size)), np.int64)
         for batch in batches:
-            bad = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            labels = [batch.column(i).to_numpy() for i in (1, 2)]
             for texts in chunks(batch.column(0), 1 << 20):
-                grams, contexts, owner = places(texts, p)
-                kind = bad[texts.first_row : texts.first_row + len(texts)][owner]
-                for c in (0, 1):
-                    here = kind == bool(c)
-                    tables[c, : size[0]] += np.bincount(grams[:, here].ravel(), minlength=size[0])
-                    tables[c, size[0] :] += np.bincount(contexts[:, here].ravel(), minlength=size[1])
-        kind, place = np.nonzero(tables)
-        for s in range(0, len(kind), 50_000):
-            k, x = kind[s : s + 50_000], place[s : s + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(tables[k, x])], ["kind", "place", "n"])
-
-    rows = _labelled(pages, url_col, rejected).mapInArrow(count, "kind int, place int, n bigint").groupBy("kind", "place").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros((2, sum(size)), np.float32)
-    table[rows["kind"], rows["place"]] = rows["n"]
-    return Model(table[:, : size[0]], table[:, size[0] :]) if table.any(1).all() else None
-
+                gram, owner = keys(texts, p)
+                key, where = np.unique(gram, return_inverse=True)
+                sums = [np.bincount(where, x[texts.first_row : texts.first_row + len(texts)][owner], len(key)).astype(np.int64) for x in labels]
+                for s in range(0, len(key), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 50_000]) for x in (key, *sums)], ["key", "good", "bad"])
 
-def _score(pages: DataFrame, model: Model, url_col: str, keep: list[str], name: str, p: Params) -> DataFrame:
-    shared = pages.sparkSession.sparkContext.broadcast((model.grams, model.contexts))
+    counted = urls.select("url", "good", "bad").mapInArrow(tidy(count), "key bigint, good bigint, bad bigint")
+    grams = counted.groupBy("key").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).checkpoint()
+    both = urls.agg(F.sum("good"), F.sum("bad")).first()
+    return Model(grams) if both[0] and both[1] else None
 
-    def start():
-        tables = Model(*shared.value)
 
-        def work(texts: Texts) -> list:
-            return [pa.array(tables.scores(texts, p), mask=~texts.valid)]
+def train(pages: DataFrame, url_col: str, rejected: Column, p: Params = Params()) -> Model | None:
+    """Both models' counts over every URL of the table, as a table of Spark that grows with it; None if one kind is missing."""
+    return _fit(_urls(pages, url_col, rejected), p)
 
-        return work
 
-    return map_texts(pages, keep, url_col, start, T.StructType([T.StructField(name, T.DoubleType())]))
+def _score(urls: DataFrame, model: Model, p: Params) -> DataFrame:
+    """Rows (no, score) for each URL, the mean of the ratios of its grams.
 
+    The most frequent grams are summed up where URLs are read, so that no key of the join is in most of the URLs; every other
+    gram of a URL is joined with its ratio.
+    """
+    ratios = model.ratios(p).checkpoint()
+    top = ratios.orderBy(F.desc("n"), "key").limit(p.frequent).select("key", "ratio").checkpoint().toPandas().sort_values("key")  # by way of one task, not of the driver
+    shared = urls.sparkSession.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["ratio"].to_numpy(float)))
 
-def threshold(pages: DataFrame, model: Model, url_col: str, rejected: Column, p: Params = Params()) -> float:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, worth = shared.value
+        for batch in batches:
+            number = batch.column(0).to_numpy()
+            for texts in chunks(batch.column(1), 1 << 20):
+                no = number[texts.first_row : texts.first_row + len(texts)]
+                gram, owner = keys(texts, p)
+                at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+                here = known[at] == gram
+                part = np.bincount(owner[here], worth[at[here]], len(texts))
+                size = np.bincount(owner, minlength=len(texts))
+                yield pa.RecordBatch.from_arrays([pa.array(no), pa.nulls(len(no), pa.int64()), pa.array(part), pa.array(size.astype(np.int64))], ["no", "key", "ratio", "size"])
+                rare, of = gram[~here], no[owner[~here]]
+                for s in range(0, len(rare), 50_000):
+                    k = rare[s : s + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(of[s : s + 50_000]), pa.array(k), pa.array(np.zeros(len(k))), pa.array(np.zeros(len(k), np.int64))], ["no", "key", "ratio", "size"])
+
+    parts = urls.select("no", "url").mapInArrow(tidy(read), "no bigint, key bigint, ratio double, size bigint").checkpoint()
+    joined = parts.where("key is not null").select("no", "key").join(ratios.select("key", "ratio"), "key").select("no", "ratio", F.lit(0).cast("bigint").alias("size"))
+    every = parts.where("key is null").select("no", "ratio", "size").union(joined)
+    return every.groupBy("no").agg(F.round(F.sum("ratio") / F.sum("size"), 9).alias("score"))
+
+
+def threshold(scored: DataFrame, p: Params = Params()) -> float:
     """The score that parts the two kinds best: least share of accepted below it plus share of rejected at or above it, over all URLs."""
-    labelled = _labelled(pages, url_col, rejected)
-    bins = _score(labelled, model, "url", ["bad"], "score", p).groupBy(F.floor(F.col("score") * p.bins).alias("bin")).agg(F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad")).orderBy("bin").toPandas()
+    bins = scored.groupBy(F.floor(F.col("score") * p.bins).alias("bin")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).orderBy("bin").toPandas()
     good, bad = bins["good"].to_numpy(float), bins["bad"].to_numpy(float)
     wrong = np.concatenate([[0], np.cumsum(good)])[:-1] / good.sum() + 1 - np.concatenate([[0], np.cumsum(bad)])[:-1] / bad.sum()
     best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
@@ -147,10 +192,12 @@ def url_filter(pages: DataFrame, rejected: Column | None = None, p: Params = Par
     """
     keep = list(pages.columns if columns is None else columns)
     rejected = F.regexp_like(col(url_col), F.lit(REJECTED_HOSTS)) if rejected is None else rejected
-    model = train(pages, url_col, rejected, p)
+    urls = _urls(pages, url_col, rejected)
+    model = _fit(urls, p)
     if model is None:
         return pages.select(*map(col, keep)).withColumn(score_col, F.lit(None).cast("double"))
-    limit = threshold(pages, model, url_col, rejected, p)
+    scored = urls.join(_score(urls, model, p), "no").select("url", "good", "bad", "score").checkpoint()
+    limit = threshold(scored, p)
     lower = pages.select(*(col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.lower(col(url_col)).alias("url"))
-    scored = _score(lower, model, "url", [f"k{i}" for i in range(len(keep))], "score", p)
-    return scored.where(F.col("score").isNull() | (F.col("score") >= limit)).toDF(*keep, score_col)
+    out = lower.join(scored.select("url", "score"), "url", "left").where(F.col("url").isNull() | (F.col("score") >= limit))
+    return out.select(*(f"k{i}" for i in range(len(keep))), "score").toDF(*keep, score_col)

@@ -152,6 +152,34 @@ def test_url_scores_equal_a_brute_force_model(spark):
     assert ours[:2] == pytest.approx([score(u) for u in fresh[:2]], abs=1e-2)
 
 
+def test_url_scores_with_registered_parameters(spark):
+    """Many URLs with slugs and ids, held against dictionaries: no context takes another's counts."""
+    rng, p = np.random.default_rng(6), uf.Params()
+    slug = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789-_"), n))
+    good, bad = [f"https://{slug(8)}.example.org/{slug(60)}" for _ in range(5000)], [f"http://casino-{slug(4)}.example.com/{slug(30)}" for _ in range(100)]
+    counts = {}
+    for kind, urls in enumerate((good, bad)):
+        for x in (b"\2" * p.order + u.encode() + b"\3" for u in urls):
+            for i in range(p.order, len(x)):
+                for k in range(p.order + 1):
+                    for key in ((kind, k, x[i - k : i + 1]), (kind, k, x[i - k : i], "")):
+                        counts[key] = counts.get(key, 0) + 1
+
+    def score(u):
+        x, total = b"\2" * p.order + u.encode() + b"\3", 0.0
+        for i in range(p.order, len(x)):
+            probs = [1 / 256, 1 / 256]
+            for k in range(p.order + 1):
+                probs = [(counts.get((c, k, x[i - k : i + 1]), 0) + p.prior * q) / (counts.get((c, k, x[i - k : i], ""), 0) + p.prior) for c, q in enumerate(probs)]
+            total += np.log(probs[0]) - np.log(probs[1])
+        return total / (len(x) - p.order)
+
+    pages = spark.createDataFrame(list(enumerate(good + bad)), "page_id int, url string")
+    got = {r["page_id"]: r["score"] for r in uf.url_filter(pages, p=p).collect()}
+    assert len(got) >= 4900 and len({k for k in counts if len(k) == 3}) > p.frequent
+    assert all(got[i] == pytest.approx(score((good + bad)[i]), abs=1e-6) for i in list(got)[::25])
+
+
 def test_url_query(spark, sf):
     rows = queries()["op3_url_filter"](spark, sf).collect()
     kept = {r["page_id"] for r in rows}
