@@ -17,7 +17,7 @@ from pathloom.llm.frames import col
 from pathloom.llm.textbatch import Texts, hashes, words
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>|([^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|noscript|template|svg|textarea)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>|([^<]+|<)",
     re.S | re.I,
 )
 _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -25,6 +25,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 SKIPPED = frozenset("head title option select iframe object canvas".split())
 CLOSES = {"p": frozenset("p address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()), "li": frozenset(["li"]), "td": frozenset("td th tr".split()), "th": frozenset("td th tr".split()), "tr": frozenset(["tr"]), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "option": frozenset(["option"])}
+IN_HEAD = frozenset("base link meta title script style noscript template".split())
 MAIN = frozenset(("article", "main"))
 PATH, WORD, FIGURES = 40, 16, 8
 SIZE = PATH + WORD + FIGURES
@@ -54,9 +55,18 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(tuple(x for x in stack if x[0] not in INLINE), joined, min(linked, len(joined))))
         linked = 0
 
+    def drop(at: int) -> None:
+        nonlocal links, skip
+        for gone, _ in stack[at:]:
+            links -= gone == "a"
+            skip -= gone in SKIPPED
+        del stack[at:]
+
     for m in _TOKEN.finditer(page):
         raw = m.group(5)
         if raw is not None:
+            if stack and stack[-1][0] == "head" and not raw.isspace():  # only the body has text of its own
+                drop(len(stack) - 1)
             if not skip:
                 text.append(raw)
                 if links:
@@ -70,21 +80,20 @@ def blocks(page: str) -> list[Block]:
         if closing:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if at >= 0:
-                for gone, _ in stack[at:]:
-                    links -= gone == "a"
-                    skip -= gone in SKIPPED
-                del stack[at:]
-        elif tag not in VOID:
+                drop(at)
+            continue
+        at = next((i for i, x in enumerate(stack) if x[0] == "head"), -1) if skip else -1
+        if at >= 0 and (tag == "body" or at == len(stack) - 1 and tag not in IN_HEAD):  # its end tag may be omitted
+            drop(at)
+        if tag not in VOID:
             if stack and tag in CLOSES.get(stack[-1][0], ()):
-                stack.pop()
+                drop(len(stack) - 1)
             elif tag == "p" or tag == "div":  # an unclosed inline tag does not hold a paragraph open
                 at = len(stack)
                 while at and stack[at - 1][0] in INLINE:
                     at -= 1
                 if at and stack[at - 1][0] == "p":
-                    for gone, _ in stack[at - 1 :]:
-                        links -= gone == "a"
-                    del stack[at - 1 :]
+                    drop(at - 1)
             marks = tuple(w for c in _CLASS.findall(m.group(4)) for w in (c[0] or c[1] or c[2]).lower().split()) if m.group(4) else ()
             stack.append((tag, marks))
             links += tag == "a"

@@ -24,6 +24,22 @@ def test_any_markup_is_read():
     assert [b.text for b in h.blocks("a < b <p>c")] == ["a < b", "c"]
 
 
+def test_omitted_end_tags_and_custom_elements_hide_nothing():
+    text = lambda page: [b.text for b in h.blocks(page)]
+    assert text("<p>a<select><option>A<option>B</select>b<p>c") == ["a", "b", "c"]
+    assert text("<p>a<datalist><option>A<option>B<option>C</datalist><p>b") == ["a", "b"]
+    assert text("<html><head><meta charset=utf-8><title>T</title><link rel=x><body><p>a<p>b</body></html>") == ["a", "b"]
+    assert text("<head><title>T <b>U</b></title><script>x</script><style>y</style><h1>a</h1>b") == ["a", "b"]
+    assert text("<head><title>T</title><hr><p>a") == text("<head><title>T</title> a") == ["a"]
+    assert text("<html><head> <title>T</title> </head> <body>a</body>") == ["a"]
+    assert text("<head><title>T<body><p>a") == ["a"]
+    assert text("<p>a <svg width='1' data-x='>'/> b<p>c") == ["a b", "c"]
+    assert text("<p>a <svg/> b <svg><title>no</title><path d='M0'/></svg> c") == ["a b c"]
+    assert text("<p>a</p><svg-icon name=x>i</svg-icon><template-x>t</template-x><style-y>s</style-y><p>b") == ["a", "i", "t", "s", "b"]
+    assert text("<p>a<template>no</template><script\nasync>no</script><textarea>no</textarea>b") == ["ab"]
+    assert [b.linked for b in h.blocks("<table><tr><td><a href=x>l<td>a<tr><td>b</table><p>c")][-1] == 0
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     model = h.Model.fresh(4, rng)
