@@ -140,6 +140,19 @@ def test_index_recall():
             assert (met.reshape(3000, lists, -1)[:, x] == (one[:, x] & cut)).all()
 
 
+@pytest.mark.parametrize("n", [1000, 1 << 26, 1 << 34, 1 << 42])
+def test_index_recall_at_exactly_the_limit(n):
+    """Longer keys agree less often; more lists and cuts make up for it."""
+    rng, p = np.random.default_rng(9), sh.Params()
+    width, lists = sh.plan(n, p)
+    a = rng.integers(0, 2**63, (2000, 4), dtype=np.uint64)
+    flips = np.zeros((2000, 256), np.uint8)
+    np.put_along_axis(flips, np.argsort(rng.random((2000, 256)), 1)[:, : p.bits], 1, 1)
+    b = a ^ np.packbits(flips, axis=1).view(np.uint64)
+    assert (sh.hamming(a, b) == p.bits).all()
+    assert np.mean([sh.meets(a[s : s + 100], b[s : s + 100], p, width, lists).any(1).mean() for s in range(0, 2000, 100)]) >= 0.98
+
+
 def test_simhash_odd_rows(odd_docs, no_docs):
     ids = sorted(repr(r["doc_id"]) for r in sh.near_dedup_ids(odd_docs).collect())
     assert ids == sorted(map(repr, [1, 2, 3, None, 4, 5, 6, 7]))
