@@ -15,7 +15,7 @@ from pathloom.llm.textbatch import Texts
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits of bytes / compressed bytes: `whole` by the length in bytes from which a row holds, `chunk` for full chunks.
+    """Limits of bytes / compressed bytes: `whole` by the length in bytes from which a row holds, `chunk` for chunks.
 
     Ordinary prose compresses better the longer it is, so the limits rise with the length. A very short text says nothing:
     the frame around the data outweighs it.
@@ -36,21 +36,25 @@ class Bands:
     chunk_bytes: int = 2048
     chunk_low: float = 1.25
     chunk_high: float = 3.10
-    chunk_share: float = 0.5  # reject if more than this share of the full chunks is outside
+    chunk_share: float = 0.5  # reject if more than this share of the chunks is outside
     level: int = 3
 
 
 def ratios(data: np.ndarray, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """Ratio of the whole, and the share of full chunks outside the limits; a single chunk is nearly the whole and gives 0."""
+    """Ratio of the whole, and the share of chunks outside the limits; a text shorter than a chunk has none and gives 0.
+
+    Chunks follow each other; where bytes are left over, a last one ends at the end of the text.
+    """
     n, size = len(data), bands.chunk_bytes
     if not n:
         return 0.0, 0.0
     raw = data.tobytes()
-    whole, full = n / len(packer.compress(raw)), n // size
-    if full < 2:
+    whole = n / len(packer.compress(raw))
+    if n < size:
         return whole, 0.0
-    outside = sum(not bands.chunk_low <= size / len(packer.compress(raw[i * size : (i + 1) * size])) <= bands.chunk_high for i in range(full))
-    return whole, outside / full
+    starts = [*range(0, n - size + 1, size), *([n - size] if n % size else [])]
+    outside = sum(not bands.chunk_low <= size / len(packer.compress(raw[i : i + size])) <= bands.chunk_high for i in starts)
+    return whole, outside / len(starts)
 
 
 def keeps(length: int, whole: float, outside: float, bands: Bands) -> bool:

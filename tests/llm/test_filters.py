@@ -48,6 +48,17 @@ def test_compression_odd_rows(odd_docs, no_docs, spark):
     assert [r["doc_id"] for r in compression_rules(mixed).collect()] == [3]
 
 
+def test_compression_judges_short_texts_and_the_end(spark):
+    """Junk and repetition that the ratio of the whole evens out, in a text of one chunk and a part, and behind the last full chunk."""
+    rng = np.random.default_rng(1)
+    junk = lambda n: rng.integers(33, 127, n, dtype=np.uint8).tobytes().decode()
+    prose = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 6000))
+    rows = [(1, junk(2000) + "ab" * 950), (2, prose[:2048] + junk(2048) + "ab" * 952), (3, prose), (4, prose[:3000])]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    assert sorted(r["doc_id"] for r in compression_rules(df).collect()) == [3, 4]
+    assert brute_keeps(rows[0][1]) and brute_keeps(rows[1][1])  # full chunks alone do not tell
+
+
 def test_bradley_terry_learns_from_pairs():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 5))
