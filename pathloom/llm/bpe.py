@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from pathloom.llm import vocab
-from pathloom.llm.frames import col
-from pathloom.llm.textbatch import Texts, chunks, hashes, pretokens, spread, tidy
+from pathloom.llm.frames import check_free, col
+from pathloom.llm.textbatch import Texts, chunks, every_second, hashes, pretokens, spread, tidy
 
 WIDE = 1024  # leaves from which a word has a tree of its own
+VAST = 1 << 15  # symbols from which the merges of one rank are made together
 CELLS = 1 << 19  # tree nodes at work at once
 
 
@@ -124,6 +126,45 @@ def merge_one(v: vocab.Vocab, symbols: list[int]) -> list[int]:
     return [s for s in symbols if s >= 0]
 
 
+def merge_vast(v: vocab.Vocab, symbols: np.ndarray) -> np.ndarray:
+    """The same for one word of any length, all merges of the root's rank at a time.
+
+    Leaves hold ranks alone, as their order tells which is leftmost. A merge makes no pair of a lower rank, so the root would
+    yield those of one rank one after another, from the left; they are found by going down from it, and the nodes above all
+    changed leaves are brought up to date level by level.
+    """
+    n = len(symbols)
+    leaves = 1 << max(1, (n - 1).bit_length())
+    symbols, tree = symbols.astype(np.int64), np.full(2 * leaves, vocab.NONE)
+    tree[leaves : leaves + n - 1] = v.pair_ranks(symbols[:-1], symbols[1:])
+    level = leaves
+    while level > 1:
+        tree[level // 2 : level] = np.minimum(tree[level : 2 * level : 2], tree[level + 1 : 2 * level : 2])
+        level //= 2
+    after, before = np.append(np.arange(1, n), -1), np.arange(-1, n - 1)
+    while tree[1] < vocab.NONE:
+        rank, node = tree[1], np.ones(1, np.int64)
+        while node[0] < leaves:
+            node = (2 * node[:, None] + np.arange(2)).ravel()
+            node = node[tree[node] == rank]
+        at = every_second(node - leaves, after)
+        gone = after[at]
+        behind = after[gone]
+        symbols[at], symbols[gone], after[at] = rank, -1, behind
+        before[behind[behind >= 0]] = at[behind >= 0]
+        ahead = before[at]
+        node = np.unique(np.concatenate([gone, at, ahead[ahead >= 0]]))
+        pair = np.flatnonzero((symbols[node] >= 0) & (after[node] >= 0))
+        tree[leaves + node] = vocab.NONE
+        tree[leaves + node[pair]] = v.pair_ranks(symbols[node[pair]], symbols[after[node[pair]]])
+        node = node + leaves
+        while node[0] > 1:
+            node = node >> 1
+            node = node[np.concatenate([[True], node[1:] != node[:-1]])]
+            tree[node] = np.minimum(tree[2 * node], tree[2 * node + 1])
+    return symbols[symbols >= 0]
+
+
 def merge_words(v: vocab.Vocab, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of each word, one word after another, and how many each has."""
     counts = np.ones(len(starts), np.int64)
@@ -137,9 +178,10 @@ def merge_words(v: vocab.Vocab, data: np.ndarray, starts: np.ndarray, sizes: np.
         these = np.flatnonzero((sizes <= leaves) & (sizes > max(1, leaves // 2)))
         if leaves > WIDE:
             for w in these:
-                ids = merge_one(v, v.byte_id[data[starts[w] : starts[w] + sizes[w]]].tolist())
+                symbols = v.byte_id[data[starts[w] : starts[w] + sizes[w]]]
+                ids = merge_vast(v, symbols) if len(symbols) >= VAST else np.array(merge_one(v, symbols.tolist()), np.int64)
                 counts[w] = len(ids)
-                pieces.append((np.array([w]), np.array(ids, np.int64)))
+                pieces.append((np.array([w]), ids))
         else:
             step = max(1, CELLS // (2 * leaves))
             for low in range(0, these.size, step):
@@ -188,8 +230,9 @@ def bpe_encode(docs: DataFrame, vocab_path: str = vocab.DEFAULT_PATH, id_col: st
     The whole text is encoded. decodes_back tells whether decoding the ids gives the text byte by byte; so it also proves
     that no two pre-tokens of a chunk were taken for equal by their 64-bit hash. A null text has null in all three, an
     empty one no ids, 0 and true. Repeated rows, repeated or null ids stay as they are; an empty table gives no row; columns
-    not named in `keep` are not read. `keep` must not name columns of the result.
+    not named in `keep` are not read. ValueError if `keep` or the id has the name of a column of the result.
     """
+    check_free([id_col, *keep], ["token_ids", "n_tokens", "decodes_back"])
     cols = [id_col, *keep]
     schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(cols))
 
@@ -218,14 +261,33 @@ def bpe_encode(docs: DataFrame, vocab_path: str = vocab.DEFAULT_PATH, id_col: st
 
 
 def bpe_decode(encoded: DataFrame, vocab_path: str = vocab.DEFAULT_PATH, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
-    """One row (id, text) for each row of `encoded`; null ids give a null text, bytes that are no UTF-8 a replacement sign."""
+    """One row (id, text) for each row of `encoded`.
+
+    Null ids give a null text, no ids an empty one, bytes that are no UTF-8 a replacement sign. Repeated rows and repeated or
+    null ids stay as they are; an empty table gives no row; other columns, whatever their names, are not read. ValueError in
+    the task for an id that the vocabulary does not have, a null among the ids included.
+    """
+    if id_col.lower() == "text":
+        raise ValueError("the id column cannot be called text, as the result has a column of that name")
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.load(vocab_path)
         for batch in batches:
-            texts = [None if ids is None else v.decode(np.asarray(ids, np.int64)).tobytes().decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
-
-    out = encoded.select(col(id_col).alias("id"), col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string")
+            lists = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            flat = lists.flatten()
+            ids = pc.fill_null(flat, -1).to_numpy()
+            if ids.size and not 0 <= ids.min() <= ids.max() < v.size:
+                raise ValueError("an id is not in the vocabulary")
+            raw, at = decode_ids(v, ids, np.concatenate([[0], np.cumsum(sizes)]))
+            null = lists.is_null().to_numpy(zero_copy_only=False)
+            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw.tobytes())])
+            try:
+                texts = texts.cast(pa.large_string())
+            except pa.ArrowInvalid:
+                texts = pa.array([x.decode("utf-8", "replace") for x in texts.to_pylist()], pa.large_string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.if_else(pa.array(null), pa.scalar(None, pa.large_string()), texts).cast(pa.string())], ["id", "text"])
+
+    out = encoded.select(col(id_col).alias("id"), col(ids_col).cast("array<int>").alias("ids")).mapInArrow(tidy(run), f"id {kind}, text string")
     return out.withColumnRenamed("id", id_col)

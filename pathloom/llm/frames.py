@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,11 +25,25 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def check_free(columns: Iterable[str], made: Iterable[str]) -> None:
+    """ValueError if one of the columns that pass through has the name of one that is made; compared without case, as in Spark."""
+    taken = {c.lower() for c in columns}
+    both = [m for m in made if m.lower() in taken]
+    if both:
+        raise ValueError(f"the table has columns {both} already: rename them or choose other names for what is made")
+
+
 def ready_for_checkpoint(spark: SparkSession) -> None:
-    """Let checkpoint() use the folder of spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
+    """Let checkpoint() use the shared folder of spark.checkpoint.dir.
+
+    Where that is unset, as in tests, a local session gets a folder of its own; on a cluster, whose executors do not share
+    such a folder, RuntimeError.
+    """
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="checkpoint-")

@@ -226,3 +226,16 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     shift = np.cumsum(counts) - counts
     return np.arange(total, dtype=np.int64) + np.repeat(starts - shift, counts)
+
+
+def every_second(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of the places `at`, in order, where pairs of one rank begin, those that merge from the left without overlap: of neighbours,
+    each being the one `after` the one before, every second."""
+    if at.size < 2:
+        return at
+    run = after[at[:-1]] == at[1:]
+    if not run.any():
+        return at
+    count = np.arange(at.size)
+    head = np.concatenate([[True], ~run])
+    return at[(count - np.maximum.accumulate(np.where(head, count, 0))) % 2 == 0]

@@ -4,20 +4,18 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from pathloom.llm import vocab
+from pathloom.llm.bpe import encode_texts
 from pathloom.llm.frames import col
 from pathloom.llm.textbatch import chunks, tidy
 
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SAMPLE = 256  # every so many ones of the upper part have their place written down
 
 
@@ -96,11 +94,6 @@ class EliasFano:
         return (ones.astype(np.uint64) - np.arange(self.n, dtype=np.uint64)) << np.uint64(self.low) | low
 
 
-@lru_cache(2)
-def _encoder(path: str) -> tiktoken.Encoding:
-    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=vocab.load(path).ranks, special_tokens={})
-
-
 def read_document(ids: bytes, boundaries: bytes, width: int, i: int) -> np.ndarray:
     """Token ids of the i-th document of a shard."""
     places = EliasFano.from_bytes(boundaries)
@@ -123,21 +116,21 @@ def token_shards(docs: DataFrame, vocab_path: str = vocab.DEFAULT_PATH, shard_to
     schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("n_tokens", T.LongType()), T.StructField("width", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("boundaries", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocab_path)
-        width = 2 if encoder.max_token_value < 1 << 16 else 4
+        v = vocab.load(vocab_path)
+        width = 2 if v.size <= 1 << 16 else 4
         partition, made = TaskContext.get().partitionId() << 32, 0
         names: list[pa.Array] = []
         parts: list[np.ndarray] = []
-        sizes: list[int] = [0]
+        sizes: list[np.ndarray] = []
         total = 0
 
         def shard() -> pa.RecordBatch:
             held = pa.concat_arrays(names)
-            ends = np.cumsum(sizes)
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
             arrays = [
                 pa.array([partition | made], pa.int64()),
                 pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held),
-                pa.array([int(ends[-1])], pa.int64()),
+                pa.array([total], pa.int64()),
                 pa.array([width], pa.int32()),
                 pa.array([np.concatenate(parts).tobytes()], pa.binary()),
                 pa.array([EliasFano.build(ends).to_bytes()], pa.binary()),
@@ -146,20 +139,23 @@ def token_shards(docs: DataFrame, vocab_path: str = vocab.DEFAULT_PATH, shard_to
 
         for batch in batches:
             for texts in chunks(batch.column(1)):
-                ids = batch.column(0).slice(texts.first_row, len(texts))
-                start = 0
-                for i in range(len(texts)):
-                    tokens = encoder.encode_to_numpy(texts.document(i).decode("utf-8", "replace"), disallowed_special=())
-                    if len(sizes) > 1 and total + len(tokens) > shard_tokens:
-                        names.append(ids.slice(start, i - start))
-                        yield shard()
-                        made, start = made + 1, i
-                        names, parts, sizes, total = [], [], [0], 0
-                    total += len(tokens)
-                    parts.append(tokens.astype(f"<u{width}"))
-                    sizes.append(len(tokens))
-                names.append(ids.slice(start))
-        if len(sizes) > 1:
+                ids, at = encode_texts(v, texts)
+                start, n = 0, len(texts)
+                while start < n:
+                    end = int(np.searchsorted(at, at[start] + shard_tokens - total, "right")) - 1  # as many as the shard has room for
+                    if end <= start:
+                        if names:
+                            yield shard()
+                            made, total = made + 1, 0
+                            names, parts, sizes = [], [], []
+                            continue
+                        end = start + 1
+                    names.append(batch.column(0).slice(texts.first_row + start, end - start))
+                    parts.append(ids[at[start] : at[end]].astype(f"<u{width}"))
+                    sizes.append(np.diff(at[start : end + 1]))
+                    total += int(at[end] - at[start])
+                    start = end
+        if names:
             yield shard()
 
     return docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(tidy(run), schema)

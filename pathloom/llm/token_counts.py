@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,9 @@ from pyspark.sql import DataFrame
 
 from pathloom.llm import vocab
 from pathloom.llm.frames import col
-from pathloom.llm.textbatch import Texts, chunks, hashes, pretokens, spread, tidy
+from pathloom.llm.textbatch import Texts, chunks, every_second, hashes, pretokens, spread, tidy
+
+VAST = 1 << 15  # symbols from which a sequence is merged alone
 
 
 def merge_ranks(v: vocab.Vocab, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -35,12 +38,7 @@ def merge_ranks(v: vocab.Vocab, symbols: np.ndarray, sizes: np.ndarray) -> np.nd
             owner, size, low = owner[live], size[live], low[live]
             if not size.size:
                 break
-        hit = ranks == np.repeat(low, size)
-        at = np.flatnonzero(hit)
-        if at.size > 1 and (run := np.diff(at) == 1).any():  # a a a: every second of neighbouring hits is taken
-            head = np.concatenate([[True], ~run])
-            place = np.arange(at.size) - np.maximum.accumulate(np.where(head, np.arange(at.size), 0))
-            at = at[place % 2 == 0]
+        at = every_second(np.flatnonzero(ranks == np.repeat(low, size)), np.arange(1, len(ranks) + 1))
         symbols[at] = ranks[at]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
@@ -57,6 +55,46 @@ def merge_ranks(v: vocab.Vocab, symbols: np.ndarray, sizes: np.ndarray) -> np.nd
     return left
 
 
+def merge_vast(v: vocab.Vocab, symbols: np.ndarray) -> int:
+    """The same for one very long sequence: neighbours are linked and places noted by their rank, so that a round costs what it
+    merges, not the length of the sequence."""
+    symbols, n = symbols.astype(np.int64), len(symbols)
+    left = n
+    after, before = np.append(np.arange(1, n), -1), np.arange(-1, n - 1)
+    ranks = _ranks(v, symbols, np.array([n]))
+    noted: dict[int, list[np.ndarray]] = {}
+    queue: list[int] = []
+
+    def note(places: np.ndarray) -> None:
+        places = places[ranks[places] < vocab.NONE]
+        order = np.argsort(ranks[places], kind="stable")
+        places, of = places[order], ranks[places[order]]
+        cut = np.flatnonzero(of[1:] != of[:-1]) + 1
+        for rank, part in zip(of[np.concatenate([[0], cut])].tolist() if of.size else [], np.split(places, cut)):
+            if rank not in noted:
+                noted[rank] = []
+                heapq.heappush(queue, rank)
+            noted[rank].append(part)
+
+    note(np.arange(n))
+    while queue:
+        rank = heapq.heappop(queue)
+        at = np.unique(np.concatenate(noted.pop(rank)))
+        at = every_second(at[ranks[at] == rank], after)
+        if not at.size:
+            continue
+        gone = after[at]
+        behind = after[gone]
+        symbols[at], after[at], ranks[gone], ranks[at] = rank, behind, vocab.NONE, vocab.NONE
+        before[behind[behind >= 0]] = at[behind >= 0]
+        left -= at.size
+        ahead = before[at]
+        touched = np.unique(np.concatenate([at[behind >= 0], ahead[ahead >= 0]]))
+        ranks[touched] = v.pair_ranks(symbols[touched], symbols[after[touched]])
+        note(touched)
+    return left
+
+
 def _ranks(v: vocab.Vocab, symbols: np.ndarray, size: np.ndarray) -> np.ndarray:
     ranks = np.full(len(symbols), vocab.NONE)
     if len(symbols) > 1:
@@ -73,7 +111,10 @@ def count(v: vocab.Vocab, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     _, one, code = np.unique(hashes(texts.data, starts, ends), return_index=True, return_inverse=True)
     size = ends[one] - starts[one]
-    n = merge_ranks(v, v.byte_id[texts.data[spread(starts[one], size)]], size)
+    n, vast = np.empty(len(size), np.int64), size >= VAST
+    n[~vast] = merge_ranks(v, v.byte_id[texts.data[spread(starts[one[~vast]], size[~vast])]], size[~vast])
+    for i in np.flatnonzero(vast):
+        n[i] = merge_vast(v, v.byte_id[texts.data[starts[one[i]] : ends[one[i]]]])
     total = np.concatenate([[0], np.cumsum(n[code])])
     return total[first[1:]] - total[first[:-1]], np.diff(first)
 

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 import tiktoken
@@ -9,9 +11,11 @@ from pathloom.llm import vocab
 from pathloom.llm.bpe import bpe_decode, bpe_encode, decode_ids, encode_texts, merge_one
 from pathloom.llm.queries import queries
 from pathloom.llm.textbatch import Texts, hashes, pretokens, words
-from pathloom.llm.token_binary import PATTERN, EliasFano, read_document, token_shards
+from pathloom.llm import bpe, token_counts as tc
+from pathloom.llm.token_binary import EliasFano, read_document, token_shards
 from pathloom.llm.token_counts import count, token_counts
 
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 V = vocab.load()
 TRUTH = tiktoken.Encoding("truth", pat_str=PATTERN, mergeable_ranks=V.ranks, special_tokens={})
 alphabet = st.sampled_from(list(" \n\t'srevltmdaZ1²é日😀.,!-　 \u0085") + ["th", "ing", "'ll", "  ", "aaaa"])
@@ -40,6 +44,25 @@ def test_long_words(word):
     assert merge_one(V, V.byte_id[np.frombuffer(word.encode(), np.uint8)].tolist()) == want
 
 
+@given(st.one_of(st.text("aeinst", min_size=2, max_size=400), st.lists(st.sampled_from(["aaaa", "th", "ing", "é", "日", "!!", "z"]), min_size=1, max_size=90).map("".join).filter(lambda t: len(t.encode()) > 1)))
+@settings(max_examples=300, deadline=None)
+def test_vast_words_merge_as_others_do(word):
+    symbols = V.byte_id[np.frombuffer(word.encode(), np.uint8)]
+    want = merge_one(V, symbols.tolist())
+    assert bpe.merge_vast(V, symbols).tolist() == want
+    assert tc.merge_vast(V, symbols) == len(want)
+
+
+def test_vast_words_in_texts(monkeypatch):
+    rng = np.random.default_rng(2)
+    ts = ["x " + "".join(rng.choice(list("etaoin"), 3000)) + " y", "b" * 5001, " " * 4000 + "z"]
+    monkeypatch.setattr(bpe, "VAST", 1000)
+    monkeypatch.setattr(tc, "VAST", 1000)
+    ids, at = encode_texts(V, Texts.of(ts))
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(3)] == [TRUTH.encode_ordinary(t) for t in ts]
+    assert count(V, Texts.of(ts))[0].tolist() == np.diff(at).tolist()
+
+
 @given(texts)
 @settings(max_examples=200, deadline=None)
 def test_pretokens_and_words_equal_patterns(ts):
@@ -122,6 +145,42 @@ def test_elias_fano_is_near_the_bound():
         EliasFano.build(np.array([2, 1]))
 
 
+HOSTILE = ["x" * 5_000_000, " " * 5_000_000 + "x", "\n" * 5_000_000, "<" + "a" * 5_000_000, "<script " * 625_000, "<div>x" * 833_000, "\u00e9" * 2_500_000]
+
+
+@pytest.mark.parametrize("k", range(len(HOSTILE)))
+def test_hostile_texts_take_seconds(k):
+    """5 MB of one thing, which backtracking or quadratic code would not survive."""
+    texts = Texts.of([HOSTILE[k], "after"])
+    began = time.time()
+    n, _ = count(V, texts)
+    ids, at = encode_texts(V, texts)
+    raw, ends = decode_ids(V, ids, at)
+    assert time.time() - began < 30
+    assert n.tolist() == np.diff(at).tolist() and raw.tobytes() == texts.data.tobytes() and ends.tolist() == texts.offsets.tolist()
+
+
+def test_white_space_in_shards(spark):
+    df = spark.createDataFrame([(1, " " * 1_000_000 + "x"), (2, "a b")], "doc_id int, text string").coalesce(1)
+    (row,) = token_shards(df, shard_tokens=1 << 30).collect()
+    assert bytes(V.decode(read_document(row["ids"], row["boundaries"], row["width"], 0).astype(np.int64))) == b" " * 1_000_000 + b"x"
+    assert read_document(row["ids"], row["boundaries"], row["width"], 1).tolist() == TRUTH.encode_ordinary("a b")
+
+
+def test_decoding_odd_rows(spark):
+    rows = [(1, [V.ranks[b"\xe6"], V.ranks[b"a"]]), (1, None), (None, []), (2, TRUTH.encode_ordinary("日本 x")), (2, TRUTH.encode_ordinary("日本 x"))]
+    df = spark.createDataFrame(rows, "doc_id int, token_ids array<int>").withColumns({n: F.lit(1) for n in ("id", "text", "ids", "a.b")}).coalesce(1)
+    assert [tuple(r) for r in bpe_decode(df).collect()] == [(1, "\ufffda"), (1, None), (None, ""), (2, "日本 x"), (2, "日本 x")]
+    assert bpe_decode(df.limit(0)).count() == 0
+    for bad in ([V.size], [None], [-1]):
+        with pytest.raises(Exception, match="not in the vocabulary"):
+            bpe_decode(spark.createDataFrame([(1, bad)], "doc_id int, token_ids array<int>")).collect()
+    with pytest.raises(ValueError):
+        bpe_decode(df, id_col="text")
+    with pytest.raises(ValueError):
+        bpe_encode(df.withColumn("N_Tokens", F.lit(1)).withColumn("text", F.lit("x")), keep=("N_Tokens",))
+
+
 def test_lone_bytes_decode(spark):
     df = spark.createDataFrame([(1, [V.ranks[b"\xe6"]]), (2, [])], "doc_id int, token_ids array<int>")
     assert [r["text"] for r in bpe_decode(df).orderBy("doc_id").collect()] == ["�", ""]
