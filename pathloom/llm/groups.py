@@ -9,56 +9,100 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 24  # longest list whose pairs are all looked at side by side
+SMALL = 24  # longest list whose pairs are all looked at in any case
+LONG = 512  # longest list whose pairs are all looked at if pivots do not pay
+POOR = 16  # a pivot pays that links at least one in so many of the items it is compared with
+PAIRS = 1 << 17  # pairs at work at once
+Test = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Split = Callable[[np.ndarray], "tuple[np.ndarray, np.ndarray] | None"]
 
 
-def links_in_lists(keys: np.ndarray, items: np.ndarray, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], limit: float, maybe: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions (i, j) of links within lists, and whether all pairs of the link's list were looked at.
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of equal values."""
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return start, np.diff(np.append(start, len(keys)))
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, all runs one after another."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def _all_pairs(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places in each of some runs, some at a time."""
+    first = _spread(start, size)
+    behind = np.repeat(start + size, size) - first - 1
+    total = np.cumsum(behind)
+    at = 0
+    while at < len(first):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+        n = behind[at:end]
+        yield np.repeat(first[at:end], n), _spread(first[at:end] + 1, n)
+        at = end
+
+
+def links_in_lists(keys: np.ndarray, items: np.ndarray, distance: Test, limit: float, maybe: Test | None = None, split: Split | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of links within lists.
 
     `keys` is sorted; a list is a run of one key. Items of a list that a chain of steps of at most `limit` joins become
-    linked, and only such steps are links. Short lists compare every pair. A long list goes by pivots: all within `limit` of
-    the pivot are linked to it; `distance` being a metric, an item at d <= limit from the pivot can only be near items
-    between limit and limit + d from it, so all others need no comparison with it. So a large group of close copies costs
-    its size, not its square, and nothing is left out. `maybe` is a cheaper test that every pair within the limit passes; in
-    short lists only pairs that pass it are measured.
+    linked, and only such steps are links. Short lists compare every pair. Longer ones go by pivots, a round for all such
+    lists at once: all within `limit` of a list's pivot are linked to it; `distance` being a metric, an item at d <= limit from
+    the pivot can only be near items between limit and limit + d from it, so all others need no comparison with it. So a large
+    group of close copies costs its size, not its square, and nothing is left out. Where few items are near the pivot, the
+    rest is compared pair by pair; if it is long and `split` is given, that gets its places and returns the links among
+    them, or None if it cannot tell, and then pivots go on. `maybe` is a cheaper test that every pair which counts passes:
+    pair by pair, only those that pass it are measured.
     """
-    left, right, whole = [], [], []
-    n = len(keys)
-    if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    size = np.diff(np.append(start, n))
-    rest = np.repeat(size, size) - (np.arange(n) - np.repeat(start, size)) - 1  # items behind in the same list
-    rest[np.repeat(size > SMALL, size)] = 0
-    step = 1
-    while (at := np.flatnonzero(rest >= step)).size:  # pairs that are `step` places apart
-        if maybe is not None:
-            at = at[maybe(items[at], items[at + step])]
-        near = distance(items[at], items[at + step]) <= limit
-        left.append(at[near])
-        right.append(at[near] + step)
-        whole.append(np.ones(int(near.sum()), bool))
-        step += 1
-    for s, m in zip(start[size > SMALL], size[size > SMALL]):
-        todo = np.arange(s, s + m)
-        while todo.size > 1:
-            pivot, todo = todo[0], todo[1:]
-            d = distance(np.broadcast_to(items[pivot], items[todo].shape), items[todo])
-            near = d <= limit
-            left.append(np.full(int(near.sum()), pivot))
-            right.append(todo[near])
-            whole.append(np.zeros(int(near.sum()), bool))
-            far, dfar = todo[~near], d[~near]
-            edge = dfar <= 2 * limit
-            if edge.any() and near.any():
-                # linked items stay at work only if something unlinked may be within reach of them
-                reach = dfar[edge].min() - limit
-                todo = np.concatenate([far, todo[near & (d >= reach)]])
-            else:
-                todo = far
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    return np.concatenate(left), np.concatenate(right), np.concatenate(whole)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def compare(i: np.ndarray, j: np.ndarray) -> None:
+        near = distance(items[i], items[j]) <= limit
+        left.append(i[near])
+        right.append(j[near])
+
+    def compare_all(places: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        for i, j in _all_pairs(start, size):
+            i, j = places[i], places[j]
+            if maybe is not None:
+                ok = maybe(items[i], items[j])
+                i, j = i[ok], j[ok]
+            compare(i, j)
+
+    start, size = _runs(keys)
+    some = size > 1
+    start, size = start[some], size[some]
+    places, fresh = _spread(start, size), np.ones(len(size), bool)  # of all lists still at work; fresh: not yet split in vain
+    poor = np.zeros(len(size), bool)
+    while len(places):
+        start = np.cumsum(size) - size
+        done = (size <= SMALL) | poor & (size <= LONG)
+        compare_all(places, start[done], size[done])
+        for k in np.flatnonzero(poor & ~done & fresh) if split is not None else ():
+            found = split(places[start[k] : start[k] + size[k]])
+            if found is not None:
+                left.append(found[0])
+                right.append(found[1])
+            done[k], fresh[k] = found is not None, False
+        start, size, fresh = start[~done], size[~done], fresh[~done]
+        if not len(size):
+            break
+        which = np.repeat(np.arange(len(size)), size - 1)
+        pivot, rest = places[start][which], places[_spread(start + 1, size - 1)]
+        d = distance(items[pivot], items[rest])
+        near = d <= limit
+        left.append(pivot[near])
+        right.append(rest[near])
+        # linked items stay at work only if something unlinked may be within reach of them
+        reach = np.full(len(size), np.inf)
+        edge = ~near & (d <= 2 * limit)
+        np.minimum.at(reach, which[edge], d[edge] - limit)
+        stay = ~near | (d >= reach[which])
+        poor = np.bincount(which[near], minlength=len(size)) * POOR < size
+        places, size = rest[stay], np.bincount(which[stay], minlength=len(size))
+        some = size > 1
+        places = places[np.repeat(some, size)]
+        size, poor, fresh = size[some], poor[some], fresh[some]
+    return np.concatenate(left), np.concatenate(right)
 
 
 def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:

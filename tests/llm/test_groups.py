@@ -50,7 +50,7 @@ def test_links_connect_what_all_pairs_connect(seed, n, limit):
     x = rng.integers(0, 60, (n, rng.integers(1, 3))).astype(float)
     distance = lambda a, b: np.sqrt(((a - b) ** 2).sum(1))
     keys = np.sort(rng.integers(0, 3, n))
-    i, j, _ = links_in_lists(keys, x, distance, limit)
+    i, j = links_in_lists(keys, x, distance, limit)
     assert (distance(x[i], x[j]) <= limit).all() and (keys[i] == keys[j]).all()
     every = [(a, b) for a in range(n) for b in range(a + 1, n) if keys[a] == keys[b] and distance(x[a : a + 1], x[b : b + 1])[0] <= limit]
     assert union(n, zip(i.tolist(), j.tolist())) == union(n, every)
@@ -68,21 +68,71 @@ def test_a_hot_list_costs_its_size():
         looked += len(a)
         return sh.hamming(a, b)
 
-    i, _, _ = links_in_lists(np.zeros(20_000, np.int64), x, distance, 30)
+    i, _ = links_in_lists(np.zeros(20_000, np.int64), x, distance, 30)
     assert len(i) == 19_999 and looked == 19_999
 
 
+def parted(rng, n, bits):
+    """Fingerprints and partners at exactly that distance, the differing bits anywhere."""
+    a = rng.integers(0, 2**63, (n, 4), dtype=np.uint64)
+    flips = np.zeros((n, 256), np.uint8)
+    np.put_along_axis(flips, np.argsort(rng.random((n, 256)), 1)[:, :bits], 1, 1)
+    b = a ^ np.packbits(flips, axis=1).view(np.uint64)
+    assert (sh.hamming(a, b) == bits).all()
+    return a, b
+
+
 def test_shared_bytes_are_guaranteed():
-    """A pair within the distance agrees in at least as many bytes as the filter asks for."""
-    rng = np.random.default_rng(1)
-    p = sh.Params()
-    a = rng.integers(0, 2**63, (500, 4), dtype=np.uint64)
-    b = a.copy()
-    for row in range(500):
-        for bit in rng.choice(256, p.bits, replace=False):
-            b[row, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-    assert (sh.hamming(a, b) == p.bits).all()
-    assert (sh.shared_bytes(a, b) >= sh.BYTES - p.bits).all()
+    """A pair agrees in as many bytes as the filter asks for: surely up to 27 bits, nearly always at the limit; others do not."""
+    rng, p = np.random.default_rng(1), sh.Params()
+    for bits in (1, 10, 20, sh.BYTES - p.least):
+        assert (sh.shared_bytes(*parted(rng, 2000, bits)) >= p.least).all()
+    worst = np.zeros((1, 4), np.uint64)
+    worst.view(np.uint8)[0, : sh.BYTES - p.least] = 1  # each differing bit in another byte
+    assert sh.shared_bytes(np.zeros((1, 4), np.uint64), worst)[0] == p.least and sh.hamming(np.zeros((1, 4), np.uint64), worst)[0] == sh.BYTES - p.least
+    assert (sh.shared_bytes(*parted(rng, 20_000, p.bits)) >= p.least).mean() >= 0.999
+    assert (sh.shared_bytes(rng.integers(0, 2**63, (200_000, 4), dtype=np.uint64), rng.integers(0, 2**63, (200_000, 4), dtype=np.uint64)) >= p.least).sum() <= 1
+
+
+def test_many_unrelated_items_in_a_list(monkeypatch):
+    """10,000 fingerprints that have nothing but the three bytes of their cut in common, among them groups of close ones."""
+    rng, p = np.random.default_rng(2), sh.Params()
+    f = rng.integers(0, 2**63, (10_000, 4), dtype=np.uint64)
+    f[5000:5040] = f[17]
+    f[5000:5040, 1] ^= np.uint64(1) << rng.integers(0, 60, 40).astype(np.uint64)
+    f[6000:6300], f[7000:7300] = parted(rng, 300, 26)
+    f.view(np.uint8).reshape(-1, 32)[:, [3, 9, 20]] = 77
+    looked = [0, 0]
+    for k, name in enumerate(("hamming", "shared_bytes")):
+        real = getattr(sh, name)
+        monkeypatch.setattr(sh, name, lambda a, b, k=k, real=real: (looked.__setitem__(k, looked[k] + len(a)), real(a, b))[1])
+    i, j = sh.links_among(f, np.zeros(len(f), np.int64), np.arange(len(f)), p)
+    assert looked[0] < 500_000 and looked[1] < 500_000  # all pairs are 50 million
+    roots = union(len(f), zip(i.tolist(), j.tolist()))
+    assert len({roots[x] for x in (17, *range(5000, 5040))}) == 1
+    assert all(roots[6000 + k] == roots[7000 + k] for k in range(300))
+    assert len(set(roots)) == len(f) - 40 - 300
+    same = np.repeat(f[:1], 600, 0)
+    same.view(np.uint8).reshape(-1, 32)[:, 27:] = rng.integers(0, 256, (600, 5), dtype=np.uint8)  # all share 27 bytes
+    i, j = sh.links_among(same, np.zeros(600, np.int64), np.arange(600), p)
+    x, y = np.triu_indices(600, 1)
+    near = sh.hamming(same[x], same[y]) <= p.bits
+    assert union(600, zip(i.tolist(), j.tolist())) == union(600, zip(x[near].tolist(), y[near].tolist()))
+
+
+@given(st.integers(0, 10_000), st.integers(30, 400), st.integers(1, 40))
+@settings(max_examples=60, deadline=None)
+def test_splitting_loses_no_pair_with_bytes_enough(seed, n, groups):
+    rng, p = np.random.default_rng(seed), sh.Params()
+    f = rng.integers(0, 2**63, (groups, 4), dtype=np.uint64)[rng.integers(0, groups, n)]
+    for _ in range(int(rng.integers(1, 25))):
+        f[np.arange(n), rng.integers(0, 4, n)] ^= np.uint64(1) << rng.integers(0, 63, n).astype(np.uint64)
+    i, j = sh.links_among(f, np.zeros(n, np.int64), np.arange(n), p)
+    assert (sh.hamming(f[i], f[j]) <= p.bits).all()
+    x, y = np.triu_indices(n, 1)
+    near = (sh.hamming(f[x], f[y]) <= p.bits) & (sh.shared_bytes(f[x], f[y]) >= p.least)
+    roots = union(n, zip(i.tolist(), j.tolist()))
+    assert all(roots[a] == roots[b] for a, b in zip(x[near].tolist(), y[near].tolist()))
 
 
 def near_copy(text, rng, part):
@@ -121,36 +171,28 @@ def test_planted_copies_go_and_others_stay(spark):
     assert sorted(r["doc_id"] for r in sh.near_dedup(df).collect()) == sorted(kept)
 
 
-def test_index_recall():
-    """Of pairs at every distance up to the limit nearly all meet in a cut of a list."""
-    rng = np.random.default_rng(5)
-    for n in (1000, 1 << 26, 1 << 34):
-        p = sh.Params()
-        width, lists = sh.plan(n, p)
-        a = rng.integers(0, 2**63, (3000, 4), dtype=np.uint64)
-        b = a.copy()
-        for row in range(3000):
-            for bit in rng.choice(256, rng.integers(1, p.bits + 1), replace=False):
-                b[row, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-        met = sh.meets(a, b, p, width, lists)
-        assert met.any(1).mean() >= 0.95
-        one = (sh.list_keys(a, p, width, lists) == sh.list_keys(b, p, width, lists))[:, :, None]
-        for x in range(0, lists, 7):
-            cut = sh.cut_keys(a, np.full(3000, x), p, width, lists) == sh.cut_keys(b, np.full(3000, x), p, width, lists)
-            assert (met.reshape(3000, lists, -1)[:, x] == (one[:, x] & cut)).all()
-
-
 @pytest.mark.parametrize("n", [1000, 1 << 26, 1 << 34, 1 << 42])
 def test_index_recall_at_exactly_the_limit(n):
-    """Longer keys agree less often; more lists and cuts make up for it."""
+    """Longer keys agree less often; more lists and cuts make up for it, so that recall is the same at every size."""
     rng, p = np.random.default_rng(9), sh.Params()
     width, lists = sh.plan(n, p)
-    a = rng.integers(0, 2**63, (2000, 4), dtype=np.uint64)
-    flips = np.zeros((2000, 256), np.uint8)
-    np.put_along_axis(flips, np.argsort(rng.random((2000, 256)), 1)[:, : p.bits], 1, 1)
-    b = a ^ np.packbits(flips, axis=1).view(np.uint64)
-    assert (sh.hamming(a, b) == p.bits).all()
-    assert np.mean([sh.meets(a[s : s + 100], b[s : s + 100], p, width, lists).any(1).mean() for s in range(0, 2000, 100)]) >= 0.98
+    a, b = parted(rng, 2000, p.bits)
+    found = [(sh.meets(a[s : s + 100], b[s : s + 100], p, width, lists).any(1) & (sh.shared_bytes(a[s : s + 100], b[s : s + 100]) >= p.least)).mean() for s in range(0, 2000, 100)]
+    assert np.mean(found) >= 0.98
+    near = parted(rng, 300, 20)
+    assert sh.meets(*near, p, width, lists).any(1).all()
+
+
+@pytest.mark.parametrize("n", [1000, 1 << 26, 1 << 34])
+def test_pairs_meet_by_their_keys(n):
+    rng, p = np.random.default_rng(5), sh.Params()
+    width, lists = sh.plan(n, p)
+    a, b = parted(rng, 500, 18)
+    met = sh.meets(a, b, p, width, lists)
+    one = sh.list_keys(a, p, width, lists) == sh.list_keys(b, p, width, lists)
+    for x in range(0, lists, 7):
+        cut = sh.cut_keys(a, np.full(500, x), p, width, lists) == sh.cut_keys(b, np.full(500, x), p, width, lists)
+        assert (met[:, x] == (one[:, x] & cut.any(1))).all()
 
 
 def test_simhash_odd_rows(odd_docs, no_docs):
