@@ -209,6 +209,13 @@ def test_empty_texts_are_one_group(spark):
     assert sorted(r["doc_id"] for r in sh.near_dedup_ids(df).collect()) == [1, 3, 4, 5, 7]
 
 
+def test_both_ways_of_joining(spark, odd_docs, sf):
+    docs = odd_docs.union(odd_docs)
+    for df in (docs, spark.read.parquet(f"{sf}/documents.parquet")):
+        one, other = (sorted(map(repr, sh.near_dedup(df, many=m).collect())) for m in (1 << 20, -1))
+        assert one == other
+
+
 def test_one_id_with_two_texts(spark):
     df = spark.createDataFrame([(1, "first text of one id"), (1, "quite another content altogether"), (2, "first text of one id")], "doc_id int, text string")
     assert sorted((r["doc_id"], r["text"][:5]) for r in sh.near_dedup(df).collect()) == [(1, "first"), (1, "quite")]
