@@ -8,11 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.llm.frames import col, ready_for_checkpoint
+from pathloom.llm.frames import check_free, col, ready_for_checkpoint
 from pathloom.llm.groups import components, links_in_lists, whole_lists
 from pathloom.llm.textbatch import tidy
 
@@ -81,6 +82,12 @@ def shared_pivots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] == b[:, None, :]).sum((1, 2))
 
 
+def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number that both sorted descriptions in each row have."""
+    both = (a[:, :, None] == b[:, None, :]).any(2)
+    return a[np.arange(len(a)), both.argmax(1)] if len(a) else np.zeros(0, np.int64)
+
+
 def permutations(x: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
     """Numbers of the nearest pivots of each vector, nearest first; ties by the pivot's number."""
     out = []
@@ -141,79 +148,104 @@ def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            out: list[bytes | None] = []
-            sizes = []
-            for s in range(0, len(lists), 2000):
-                for v in lists.slice(s, 2000).to_pylist():
-                    x = np.array([np.nan if e is None else e for e in v or ()], np.float64)
-                    norm = np.sqrt((x * x).sum()) if x.size and np.isfinite(x).all() else 0.0
-                    ok = np.isfinite(norm) and norm > 0
-                    out.append((x / norm).astype(np.float32).tobytes() if ok else None)
-                    sizes.append(x.size if ok else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], ["id", "dim", "v"])
+            for s in range(0, batch.num_rows, 4000):
+                ids, lists = batch.column(0).slice(s, 4000), batch.column(1).slice(s, 4000)
+                size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+                flat = pc.fill_null(lists.flatten(), float("nan")).to_numpy()
+                start = np.cumsum(size) - size
+                parts, order = [], []
+                good = np.zeros(len(size), bool)
+                for dim in np.unique(size[size > 0]):
+                    rows = np.flatnonzero(size == dim)
+                    x = flat[start[rows][:, None] + np.arange(dim)]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        norm = np.sqrt((x * x).sum(1))
+                    ok = np.isfinite(norm) & (norm > 0)
+                    good[rows[ok]] = True
+                    order.append(rows[ok])
+                    parts.append(_binary((x[ok] / norm[ok][:, None]).astype(np.float32)))
+                order.append(np.flatnonzero(~good))
+                parts.append(pa.nulls(int((~good).sum()), pa.binary()))
+                place = np.argsort(np.concatenate(order), kind="stable")
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.where(good, size, 0).astype(np.int32)), pa.concat_arrays(parts).take(pa.array(place))], ["id", "dim", "v"])
 
     kind = T.StructType([T.StructField("id", vectors.schema[id_col].dataType), T.StructField("dim", T.IntegerType()), T.StructField("v", T.BinaryType())])
-    return vectors.select(col(id_col).alias("id"), col(vec_col).cast("array<double>").alias("vec")).mapInArrow(run, kind)
+    return vectors.select(col(id_col).alias("id"), col(vec_col).cast("array<double>").alias("vec")).mapInArrow(tidy(run), kind)
+
+
+def sample(distinct: DataFrame, n: int, k: int, seed: int) -> np.ndarray:
+    """About k of n vectors at random, chosen by a hash; few more than k go to the driver, whatever the number of partitions."""
+    h = F.xxhash64("v", F.lit(seed))
+    share = min(1.0, (k + 4 * math.sqrt(k) + 8) / max(n, 1))
+    rows = distinct.select("v", h.alias("h"))
+    if share < 1:
+        rows = rows.where(F.pmod(h, F.lit(1 << 53)) < F.lit(int(share * (1 << 53))))
+    return np.stack([np.frombuffer(v, np.float32) for _, v in sorted((r["h"], bytes(r["v"])) for r in rows.collect())][:k])
 
 
 def links(distinct: DataFrame, n: int, dim: int, p: Params) -> DataFrame:
-    """Links (a, b) between n distinct unit vectors: those that have pivots in common and are similar enough.
+    """Links (a, b) between the numbers of n distinct unit vectors (no, v): those that have pivots in common and are similar enough.
 
     The index is by pivot; a row travels to each list. Where a list comes together it is cut up by a second pivot, so that
-    only vectors with two pivots in common are compared.
+    only vectors with two pivots in common are compared. A pair is told by the list of the first pivot that both have.
     """
-    picked = distinct.orderBy(F.xxhash64("v", F.lit(p.seed)), "v").limit(pivot_count(n, p) + p.probes).select("v").collect()
-    centre, chosen, near = fitted(np.stack([np.frombuffer(r[0], np.float32) for r in picked]), n, p)
+    centre, chosen, near = fitted(sample(distinct, n, pivot_count(n, p) + p.probes, p.seed), n, p)
     pivots = distinct.sparkSession.sparkContext.broadcast(chosen)  # sqrt(n) vectors
     limit = math.acos(p.cosine)
     shared = min(p.shared, near)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _rows(batch.column(0), dim)
+            x, no = _rows(batch.column(0), dim), batch.column(1).to_numpy()
             for s in range(0, len(x), 1000):
                 part = x[s : s + 1000]
                 perm, first = lists_of(permutations(part - centre, pivots.value, near), shared)
                 both = np.concatenate([part, perm.astype(np.int32).view(np.float32)], 1)  # a vector and its pivots travel together
-                yield pa.RecordBatch.from_arrays([pa.array(perm[:, :first].ravel().astype(np.int64)), _binary(np.repeat(both, first, 0))], ["key", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(perm[:, :first].ravel().astype(np.int64)), _binary(np.repeat(both, first, 0)), pa.array(np.repeat(no[s : s + 1000], first))], ["key", "v", "no"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_lists(batches):
-            own, both = table.column(0).to_numpy(), _rows(table.column(1), dim + near)
+            own, both, no = table.column(0).to_numpy(), _rows(table.column(1), dim + near), table.column(2).to_numpy()
             x, perm = both[:, :dim], np.ascontiguousarray(both[:, dim:]).view(np.int32).astype(np.int64)
             number = np.cumsum(np.concatenate([[0], own[1:] != own[:-1]])) if len(own) else own
             if shared == 1:
                 key, row = number, np.arange(len(own))
             else:
                 key, row = cuts((number, own), perm)
-            i, j, _ = links_in_lists(key, row, lambda a, b: angle(x[a], x[b]), limit, maybe=lambda a, b: alike(x[a], x[b], p.cosine))
-            yield pa.RecordBatch.from_arrays([_binary(x[row[i]]), _binary(x[row[j]])], ["a", "b"])
+            i, j = links_in_lists(key, row, lambda a, b: angle(x[a], x[b]), limit, maybe=lambda a, b: alike(x[a], x[b], p.cosine))
+            pair = np.unique(np.minimum(row[i], row[j]) * len(own) + np.maximum(row[i], row[j]))
+            i, j = np.divmod(pair, max(len(own), 1))
+            first = first_shared(perm[i], perm[j]) == own[i]
+            yield pa.RecordBatch.from_arrays([pa.array(no[i[first]]), pa.array(no[j[first]])], ["a", "b"])
 
-    posted = distinct.select("v").mapInArrow(tidy(post), "key bigint, v binary")
-    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(join), "a binary, b binary").distinct()
+    posted = distinct.select("v", "no").mapInArrow(tidy(post), "key bigint, v binary, no bigint")
+    return posted.repartition("key").sortWithinPartitions("key", "no").mapInArrow(tidy(join), "a bigint, b bigint")
 
 
 def near_groups(vectors: DataFrame, p: Params = Params(), id_col: str = "vec_id", vec_col: str = "embedding", group_col: str = "group_id") -> DataFrame:
     """One row (id, group) for each row of `vectors`; the group is the least id that links of at least `cosine` connect.
 
-    Every vector is indexed and looks through its lists. Vectors of one direction are one entry of the index. Only vectors of
-    one length are compared. A null, empty, zero or not finite vector is alone in its group. Repeated rows share a group;
-    null ids count as greatest, so a group of rows without ids has a null name; an empty table gives no row. Other columns
-    are not read. `group_col` must differ from `id_col`.
+    Every vector is indexed and looks through its lists. Vectors of one direction are one entry of the index, known by 128
+    bits of hash. Only vectors of one length are compared. A null, empty, zero or not finite vector is alone in its group.
+    Repeated rows share a group; null ids count as greatest, so a group of rows without ids has a null name; an empty table
+    gives no row. Other columns are not read. ValueError if `group_col` is the id's name.
     """
+    check_free([id_col], [group_col])
     spark = vectors.sparkSession
     ready_for_checkpoint(spark)
-    units = unit_vectors(vectors, id_col, vec_col).checkpoint()
-    distinct = units.where("v is not null").groupBy("dim", "v").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id")).alias("w")).checkpoint()
+    units = unit_vectors(vectors, id_col, vec_col).select("*", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v", F.lit(2)).alias("h2")).checkpoint()
+    least = F.min(F.struct(F.col("id").isNull().alias("missing"), "id")).alias("w")
+    once = units.where("v is not null").groupBy("h1", "h2").agg(F.min("dim").alias("dim"), F.min("v").alias("v"), least)
+    distinct = once.select("*", F.monotonically_increasing_id().alias("no")).checkpoint()
     edges = None
     for dim, n in sorted(map(tuple, distinct.groupBy("dim").count().collect())):
         found = links(distinct.where(F.col("dim") == dim), n, dim, p)
         edges = found if edges is None else edges.union(found)
     if edges is None:
-        edges = spark.createDataFrame([], "a binary, b binary")
+        edges = spark.createDataFrame([], "a bigint, b bigint")
     named = components(edges)
-    rooted = distinct.join(named, distinct["v"] == named["node"], "left").select("v", "w", F.coalesce("root", "v").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("w").alias("least")).join(rooted.select("root", "v"), "root").select("v", F.col("least.id").alias("least"))
-    out = units.join(names.withColumnRenamed("v", "same"), F.col("v") == F.col("same"), "left")
-    return out.select("id", F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("least")).alias("least")).toDF(id_col, group_col)
+    rooted = distinct.select("h1", "h2", "no", "w").join(named, distinct["no"] == named["node"], "left").select("h1", "h2", "w", F.coalesce("root", "no").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("w").alias("least")).join(rooted.select("root", F.col("h1").alias("g1"), F.col("h2").alias("g2")), "root").select("g1", "g2", F.col("least.id").alias("least"))
+    rows = units.select("id", F.col("v").isNull().alias("alone"), "h1", "h2")
+    out = rows.join(names, ~F.col("alone") & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
+    return out.select("id", F.when(F.col("alone"), F.col("id")).otherwise(F.col("least")).alias("least")).toDF(id_col, group_col)
