@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-CHUNK_BYTES = 4 << 20  # arrays of some ten bytes for each byte of a chunk are at work at once
+CHUNK_BYTES = 2 << 20  # arrays of some ten bytes for each byte of a chunk are at work at once
 LONG_WORD = 256  # bytes; longer words are hashed one by one
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 _U = np.uint64
