@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pathloom.llm.frames import map_texts
+from pathloom.llm.frames import check_free, map_texts
 from pathloom.llm.textbatch import Texts
 
 
@@ -68,10 +68,11 @@ def compression_rules(docs: DataFrame, bands: Bands = Bands(), text_col: str = "
 
     Every byte of a text counts, none is sampled. A null or empty text is rejected; one below 64 bytes stays. Rows decide
     alone, so equal rows fare alike and all of them stay or go; an empty table stays empty. Columns pass through whatever
-    their names; the names given for the figures must not be among `columns`.
+    their names; ValueError if one of them has a name given for the figures.
     """
     keep = list(docs.columns if columns is None else columns)
     names = [n for n in (ratio_col, outside_col) if n]
+    check_free(keep, names)
     wanted = [i for i, n in enumerate((ratio_col, outside_col)) if n]
 
     def start():

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.llm.frames import col, map_texts
+from pathloom.llm.frames import check_free, col, map_texts
 from pathloom.llm.textbatch import LETTER, NUMBER, OTHER, SPACE, Texts, classes, hashes, words
 
 FEATURES = ("log_bytes", "letters", "numbers", "spaces", "others", "upper", "word_length", "repeats", "bars", "runs", "lines", "stops", "wide", "long_words", "symbols", "log_words")
@@ -182,9 +182,10 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, training: DataFrame |
     The model is fitted on labelled rows of `training` (`docs` by default). Without labels of both kinds nothing can be
     learned: all documents with text stay and their score is null. A null or empty text is rejected. Documents with a tied
     score, in particular repeated rows, fare alike: at the threshold they stay. An empty table stays empty. Columns pass
-    through whatever their names; `score_col` must not be among `columns`.
+    through whatever their names; ValueError if one of them is called as `score_col`.
     """
     keep = list(docs.columns if columns is None else columns)
+    check_free(keep, [score_col] if score_col else [])
     model = train(docs if training is None else training, labels, max_labelled, id_col, text_col)
     if model is None:
         out = docs.where(F.length(col(text_col)) > 0).select(*map(col, keep))
