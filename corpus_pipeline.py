@@ -12,6 +12,7 @@ from pathloom.llm.mixing import mix_copies
 from pathloom.llm.pairwise_quality import quality_classifier
 from pathloom.llm.queries import TEMPERATURE
 from pathloom.llm.simhash import near_dedup
+from pathloom.llm.vocab import DEFAULT_PATH
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -36,8 +37,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture wants it."""
-    return mix_copies(docs, temperature=TEMPERATURE)
+    """Each document as often as the mixture wants it; weights are of the tokens that the next stage makes."""
+    return mix_copies(docs, temperature=TEMPERATURE, vocab_path=DEFAULT_PATH)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,12 +89,14 @@ WITH d AS (
 ), g AS (
   SELECT sum(t) AS total, sum(CASE WHEN t > 0 THEN pow(t, {TEMPERATURE}) ELSE 0 END) AS whole FROM s
 ), r AS (
-  SELECT source, round(CASE WHEN t > 0 THEN total * pow(t, {TEMPERATURE}) / whole / t ELSE 1 END, 6) AS rate FROM s, g
+  SELECT source, CASE WHEN t > 0 THEN total * pow(t, {TEMPERATURE}) / whole / t ELSE 1 END AS exact FROM s, g
+), q AS (
+  SELECT source, round(exact * pow(10.0, 5.0 - floor(log10(exact)))) / pow(10.0, 5.0 - floor(log10(exact))) AS rate FROM r
 )
 SELECT doc_id, d.source, n_tokens, rate,
   (floor(rate) + CASE WHEN ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0 < rate - floor(rate)
    THEN 1 ELSE 0 END)::INTEGER AS copies
-FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
 """
 
 

@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from pathloom.llm import vocab
-from pathloom.llm.frames import col
+from pathloom.llm.frames import col, map_texts
 from pathloom.llm.textbatch import Texts, chunks, every_second, hashes, pretokens, spread, tidy
 
 VAST = 1 << 15  # symbols from which a sequence is merged alone
@@ -139,3 +140,15 @@ def token_counts(docs: DataFrame, vocab_path: str = vocab.DEFAULT_PATH, id_col:
 
     out = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, n_tokens bigint, n_pretokens bigint")
     return out.withColumnRenamed("id", id_col)
+
+
+def counted_by(docs: DataFrame, vocab_path: str, keys: list[str], text_col: str = "text") -> DataFrame:
+    """One row (k0, k1, ..., t) for each row of `docs`: some of its columns and how many tokens its text has, 0 for a null text."""
+
+    def start():
+        v = vocab.load(vocab_path)
+        return lambda texts: [count(v, texts)[0]]
+
+    made = T.StructType([T.StructField("t", T.LongType())])
+    picked = docs.select(*(col(k).alias(f"k{i}") for i, k in enumerate(keys)), col(text_col).alias("text"))
+    return map_texts(picked, [f"k{i}" for i in range(len(keys))], "text", start, made)

@@ -62,7 +62,39 @@ def test_margins_are_kept(spark, sf):
         assert r["x"] == pytest.approx(r["t"], rel=1e-4)
 
 
+def test_no_source_is_rounded_away(spark):
+    docs = spark.createDataFrame([(i, s, "one two three") for i, s in enumerate(["tiny"] * 40 + ["huge"] * 4)], "doc_id int, source string, text string")
+    rates = {r["source"]: r["rate"] for r in mix_rates(docs, {"tiny": 1e-8, "huge": 1.0}).collect()}
+    assert rates["tiny"] == pytest.approx(1e-8 * 44 / 40, rel=1e-5) and rates["huge"] == pytest.approx(11, rel=1e-5)
+
+
+def test_many_sources_and_large_margins(spark, monkeypatch):
+    """Thousands of domains: their multipliers are joined; with a second margin the Hessian is solved by conjugate gradients."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("d"), F.col("id") % 1500).alias("source"), F.concat(F.lit("l"), (F.col("id") * 7 + F.floor(F.col("id") / 1500)) % 3).alias("lang"), F.repeat(F.lit("w "), (1 + F.col("id") % 11).cast("int")).alias("text"))
+    rated = mix_rates(docs, temperature=0.5, keep_margins=("lang",))
+    sums = rated.groupBy("lang").agg(F.sum(F.col("n_tokens") * F.col("rate")).alias("x"), F.sum("n_tokens").alias("t")).collect()
+    assert all(r["x"] == pytest.approx(r["t"], rel=1e-4) for r in sums)
+    by = rated.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("rate")).alias("x"), F.sum("n_tokens").alias("t")).toPandas()
+    goal = by["t"] ** 0.5 / (by["t"] ** 0.5).sum() * by["t"].sum()
+    assert np.allclose(by["x"], goal, rtol=1e-3)
+
+
+def test_the_pipeline_mixes_real_tokens(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    n = {r["doc_id"]: len(TRUTH.encode_ordinary(r["text"])) for r in docs.collect()}
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    tokens = Counter()
+    for i, t in n.items():
+        tokens[source[i]] += t
+    whole = sum(t**0.7 for t in tokens.values())
+    rate = {s: sum(tokens.values()) * t**0.7 / whole / t for s, t in tokens.items()}
+    copies = Counter(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, sf).collect())
+    assert all(copies[i] in (int(rate[s]), int(rate[s]) + 1) for i, s in source.items())
+
+
 def test_odd_rows(odd_docs, no_docs):
+    with pytest.raises(ValueError):
+        mix_rates(odd_docs)  # has Rate, copies and n_tokens already
     free = ("q_tokens", "q_rate", "q_copies")
     rows = mix_rates(odd_docs, names=free).collect()
     assert len(rows) == odd_docs.count()
@@ -94,7 +126,7 @@ def brute_pipeline(spark, sf):
     docs = [docs[i] for i in sorted(set(union(len(docs), pairs)))]
     tokens = Counter()
     for d in docs:
-        tokens[d["source"]] += len(d["text"].split())
+        tokens[d["source"]] += len(TRUTH.encode_ordinary(d["text"]))
     whole = sum(t**0.7 for t in tokens.values())
     return docs, {s: sum(tokens.values()) * t**0.7 / whole / t for s, t in tokens.items()}
 
@@ -121,11 +153,25 @@ def test_pipeline(spark, sf, tmp_path):
     assert sorted((r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, sf).collect()) == sorted((r["doc_id"], r["n_tokens"]) for r in rows)
 
 
+ODD = {  # ids that each stage returns of odd_docs
+    "quality_rules": [1, 1, 5, 6, None, None],
+    "simhash_near_dedup": [1, 2, 3, 4, 5, 6, 7, None],
+    "bpe_encode": [1, 1, 2, 3, 4, 5, 6, 7, None, None],
+}
+
+
 @pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
 def test_stages_with_odd_rows(spark, sf, odd_docs, no_docs, k):
     name, stage = corpus_pipeline.STAGES[k]
     out = stage(spark, odd_docs, sf)
-    assert out.count() > 0
+    ids = sorted(map(str, (r["doc_id"] for r in out.collect())))
+    if name in ODD:
+        assert ids == sorted(map(str, ODD[name]))
+    elif name == "quality_classifier":  # no document without text, and equal rows fare alike
+        assert not {"2", "3"} & set(ids) and ids.count("1") in (0, 2) and ids.count("None") in (0, 2)
+    else:  # equal rows get equally many copies; a null source is one of its own, and a null text has copies too
+        count = Counter(ids)
+        assert count["1"] % 2 == count["None"] % 2 == 0 and count["3"] > 0 and abs(count["3"] - count["5"]) <= 1
     if k < len(corpus_pipeline.STAGES) - 1:
         assert out.columns == odd_docs.columns
     assert stage(spark, no_docs, sf).count() == 0
