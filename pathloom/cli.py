@@ -12,6 +12,8 @@ from pathloom.operators.walk import dump, every_path, load, matching_paths
 from pathloom.plans.automaton import Automaton
 from pathloom.plans.syntax import PathSyntaxError, describe, parse
 
+SEPARATORS = (",", ":")
+
 
 def _no_constant(name: str) -> object:
     raise ValueError(f"{name} is no JSON")
@@ -33,7 +35,7 @@ def _matches(args: argparse.Namespace, document: object) -> list[tuple[str, obje
 
 
 def _print(args: argparse.Namespace, result: dict[str, object]) -> None:
-    text = "{" + ",".join(f"{json.dumps(k)}:{v[0] if isinstance(v, tuple) else json.dumps(v, ensure_ascii=False)}" for k, v in result.items()) + "}"
+    text = "{" + ",".join(f"{json.dumps(k)}:{v[0] if isinstance(v, tuple) else json.dumps(v, ensure_ascii=False, separators=SEPARATORS)}" for k, v in result.items()) + "}"
     print(formatted(text) if args.pretty else text)
 
 

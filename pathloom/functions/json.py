@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from json.encoder import encode_basestring
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,30 +71,73 @@ def encoded(segments: Column) -> Column:
 
 
 def array_index(segment: Column) -> Column:
-    """A segment as an array index: digits only, null for anything else or beyond INT."""
-    return F.when(segment.rlike(r"^\[?[0-9]+\]?$"), F.regexp_replace(segment, r"[\[\]]", "").try_cast("int"))
+    """A segment as an array index: digits only, with brackets around or not; nothing is 0, anything else or beyond INT null."""
+    bare = F.when(segment.rlike(r"(?s)^\[.*\]$"), F.substring(segment, F.lit(2), F.length(segment) - 2)).otherwise(segment)
+    return F.when(bare == "", F.lit(0)).when(bare.rlike("^[0-9]+$"), bare.try_cast("int"))
+
+
+def key_of(document: Column, key: str) -> Column:
+    """The member of an object by its name, whatever signs that holds; null if there is none."""
+    if "'" not in key:
+        return F.try_variant_get(document, f"$['{key}']", "variant")
+    if '"' not in key:
+        return F.try_variant_get(document, f'$["{key}"]', "variant")
+    return F.try_element_at(F.try_variant_get(document, "$", "map<string,variant>"), F.lit(key))
+
+
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def value_at(document: Column, segments: list[str], kind: str = "variant") -> Column:
     """The value at fixed segments; a number is a key of an object or an index of an array, whichever is there.
 
-    Null if there is none, which a JSON null is not: as VARIANT that is a value. ValueError for a key with both kinds of
-    quotes and for more than six indices, which `extract` can do.
+    Null if there is none, which a JSON null is not: as VARIANT that is a value.
     """
-    ways = [F.try_variant_get(document, w, "variant") for w in variant_paths(segments) or ()]
-    if not ways:
-        raise ValueError("these segments cannot be written as a VARIANT path")
-    found = F.coalesce(*ways) if len(ways) > 1 else ways[0]
+    found = document
+    for s in segments:
+        if is_index(s):
+            found = _with(found, _either(s))
+        else:
+            found = key_of(found, s)
     return found if kind == "variant" else F.try_variant_get(found, "$", kind)
 
 
-def _is_index(s: str) -> bool:
-    return s.isascii() and s.isdigit() and (s == "0" or s[0] != "0") and int(s) < 2**31
+def _either(s: str) -> Callable[[Column], Column]:
+    return lambda x: F.coalesce(key_of(x, s), F.try_variant_get(x, f"$[{s}]", "variant"))
+
+
+def why_not(document: Column, segments: Column) -> Column:
+    """STRUCT<value, reason> of what is at segments that may differ from row to row: a VARIANT, or why there is none."""
+    blank = F.lit(None).cast("variant")
+
+    def failed(reason: str, s: Column) -> Column:
+        return F.struct(blank.alias("value"), F.concat(F.lit(f"{reason}: "), s).alias("reason"))
+
+    def step(at: Column, s: Column) -> Column:
+        value = at["value"]
+        members, items = F.try_variant_get(value, "$", "map<string,variant>"), F.try_variant_get(value, "$", "array<variant>")
+        index = F.when(s.rlike("^[+-]?[0-9]+$"), s.try_cast("bigint"))
+        of_object = F.when(F.map_contains_key(members, s), F.struct(F.try_element_at(members, s).alias("value"), F.lit(None).cast("string").alias("reason"))).otherwise(failed("not found", s))
+        of_array = (
+            F.when(index.isNull(), failed("invalid index", s))
+            .when((index < 0) | (index >= F.size(items)), failed("out of bounds", s))
+            .otherwise(F.struct(F.get(items, index.cast("int")).alias("value"), F.lit(None).cast("string").alias("reason")))
+        )
+        return F.when(at["reason"].isNotNull(), at).when(members.isNotNull(), of_object).when(items.isNotNull(), of_array).otherwise(failed("cannot navigate", s))
+
+    start = F.struct(document.alias("value"), F.when(document.isNull(), F.lit("invalid document")).alias("reason"))
+    return F.when(segments.isNotNull(), F.aggregate(segments, start, step))
+
+
+def is_index(s: str) -> bool:
+    return s.isascii() and s.isdigit() and len(s) < 11 and (s == "0" or s[0] != "0") and int(s) < 2**31
 
 
 def variant_paths(segments: list[str], limit: int = 64) -> list[str] | None:
     """Variant paths of all readings of the segments; None if they are more than `limit` or a key cannot be written."""
-    if sum(map(_is_index, segments)) > limit.bit_length() - 1:
+    if sum(map(is_index, segments)) > limit.bit_length() - 1:
         return None
     out = ["$"]
     for s in segments:
@@ -103,7 +147,7 @@ def variant_paths(segments: list[str], limit: int = 64) -> list[str] | None:
             ways = [f'["{s}"]']
         else:
             return None
-        if _is_index(s):
+        if is_index(s):
             ways.append(f"[{s}]")
         out = [o + w for o in out for w in ways]
     return out
@@ -142,9 +186,9 @@ def formatted(text: str) -> str:
 def format_json(text: Column) -> Column:
     """The document with an indent of two spaces, numbers in Spark's spelling; null if it is not valid."""
 
-    @F.pandas_udf(T.StringType())
-    def pretty(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else formatted(t))
+    @F.arrow_udf(T.StringType())
+    def pretty(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else formatted(t) for t in texts.to_pylist()], pa.string())
 
     return pretty(F.to_json(parsed(text)))
 

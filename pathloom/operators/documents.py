@@ -1,22 +1,25 @@
-"""The operators: validate, paths, match, extract, summarise."""
+"""The operators: validate, paths, match, extract, values, visit, summarise."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.functions.json import encoded, is_valid, parsed, segments_of, split_path, variant_paths
-from pathloom.operators.walk import dump, every_path, load, matching_paths
-from pathloom.plans.automaton import Automaton, encode_path, literal_paths, observed_regex, repeats_are_plain, to_regex
-from pathloom.plans.syntax import PathExpr, parse
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+
+from pathloom.functions.json import encoded, is_valid, kind_of, parsed, segments_of, split_path, variant_paths, why_not
+from pathloom.operators.walk import count_paths, dump, every_path, kind, load, matching_paths
+from pathloom.plans.automaton import Automaton, Observed, decode_path, depth, literal_paths, observed_regex, to_regex
+from pathloom.plans.syntax import Group, PathExpr, parse
 
 Exprs = str | PathExpr | Sequence[str | PathExpr]
 BATCH = 4096  # rows of a result batch
+LEVELS = 1_100  # Spark reads no deeper documents
+SEMANTICS, ARRAY_MODES, STRATEGIES = ("spec", "observed"), ("index", "elementwise"), ("auto", "direct", "walk")
 
 
 def _exprs(exprs: Exprs) -> list[PathExpr]:
@@ -27,8 +30,22 @@ def _c(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _one_of(what: str, given: str, known: tuple[str, ...]) -> None:
+    if given not in known:
+        raise ValueError(f"unknown {what} {given!r}, not one of {known}")
+
+
+def _free(columns: Iterable[str], made: Iterable[str]) -> None:
+    """ValueError if a column that comes along is named twice or as one that is made; compared without case, as in Spark."""
+    names = [c.lower() for c in (*columns, *made)]
+    twice = sorted({n for n in names if names.count(n) > 1})
+    if twice:
+        raise ValueError(f"the result would have more than one column {twice}: rename those of the table")
+
+
 def with_validity(df: DataFrame, json_col: str = "json", valid_col: str = "valid") -> DataFrame:
-    """`df` with a column that tells whether the text is a JSON document."""
+    """`df` with a column that tells whether the text is a JSON document. ValueError if `df` has a column of that name."""
+    _free(df.columns, [valid_col])
     return df.withColumn(valid_col, is_valid(_c(json_col)))
 
 
@@ -39,23 +56,11 @@ def _value(value: Column, kind: str) -> Column:
     return F.to_json(value) if kind == "json" else F.try_variant_get(value, "$", kind)
 
 
-class _Rows:
-    """Result rows of one batch, with the kept columns of the rows they come from."""
-
-    def __init__(self, kept: pa.RecordBatch, names: list[str], types: list[pa.DataType]):
-        self.kept, self.names, self.types = kept, names, types
-        self.source: list[int] = []
-        self.columns: list[list] = [[] for _ in types]
-
-    def add(self, row: int, *values: object) -> None:
-        self.source.append(row)
-        for column, value in zip(self.columns, values):
-            column.append(value)
-
-    def batch(self) -> pa.RecordBatch:
-        taken = [self.kept.column(i).take(pa.array(self.source, pa.int64())) for i in range(self.kept.num_columns)]
-        made = [pa.array(c, t) for c, t in zip(self.columns, self.types)]
-        return pa.RecordBatch.from_arrays([*taken, *made], self.names)
+def _shown(kept: Sequence[str], df: DataFrame, kind: str) -> DataFrame:
+    """The result with its column `value` as the caller wants it."""
+    if kind == "kind":
+        return df
+    return df.select(*map(_c, kept), _value(F.parse_json("value"), kind).alias("value"))
 
 
 def _clean(text: str) -> str:
@@ -63,6 +68,10 @@ def _clean(text: str) -> str:
     return text if text.isascii() else text.encode("utf-8", "replace").decode()
 
 
+def _told(path: str, segments: tuple[str, ...]) -> tuple[str, Sequence[str]]:
+    return (path, segments) if path.isascii() else (_clean(path), [_clean(s) for s in segments])
+
+
 def _walk(df: DataFrame, json_col: str, keep: list[str], fields: list[tuple[str, T.DataType, pa.DataType]], visit) -> DataFrame:
     """Run visit(document) -> rows of `fields` over every valid document, in one pass without a shuffle.
 
@@ -74,16 +83,23 @@ def _walk(df: DataFrame, json_col: str, keep: list[str], fields: list[tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = batch.select(inner)
-            rows = _Rows(kept, names, types)
+            rows: list[tuple] = []
+            source: list[int] = []
+
+            def result() -> pa.RecordBatch:
+                taken = [batch.column(i).take(pa.array(source, pa.int64())) for i in range(len(inner))]
+                return pa.RecordBatch.from_arrays([*taken, *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names)
+
             for i, text in enumerate(batch.column(len(inner)).to_pylist()):
                 for made in visit(load(text)):
-                    rows.add(i, *made)
-                    if len(rows.source) >= BATCH:
-                        yield rows.batch()
-                        rows = _Rows(kept, names, types)
-            if rows.source:
-                yield rows.batch()
+                    rows.append(made)
+                    source.append(i)
+                    if len(rows) >= BATCH:
+                        yield result()
+                        rows.clear()
+                        source.clear()
+            if rows:
+                yield result()
 
     valid = df.where(is_valid(_c(json_col))).select(*(_c(c).alias(n) for n, c in zip(inner, keep)), _c(json_col).alias("json"))
     return valid.mapInArrow(run, schema).toDF(*keep, *(n for n, _, _ in fields))
@@ -95,42 +111,68 @@ _VALUE = ("value", T.StringType(), pa.string())
 _NUMBERS = ("pattern_id", T.IntegerType(), pa.int32())
 
 
-def paths(df: DataFrame, json_col: str = "json", keep: Sequence[str] = ("doc_id",), value: str | None = None, strategy: str = "walk") -> DataFrame:
-    """Rows (kept columns, path, segments[, value]): every path of every valid document, root and containers included.
+def paths(df: DataFrame, json_col: str = "json", keep: Sequence[str] = ("doc_id",), value: str | None = None, strategy: str = "walk", leaves: bool = False, segments: bool = True) -> DataFrame:
+    """Rows (kept columns, path[, segments][, value]): every path of every valid document, root and containers included.
 
-    segments are the true keys and indices, whatever dots and brackets a key holds; `path` is for display. strategy "walk"
-    is one pass over the rows; "recursive" is a recursive query over VARIANT, one round a level.
+    segments are the true keys and indices, whatever dots and brackets a key holds, and can be left out; `path` is for display. value: "variant",
+    "json", a SQL type, or "kind" for the kind of each value, which needs no text of it. leaves: only paths of what holds no
+    other, which keeps values of containers, written once for each that they are in, out of the result. strategy "walk" is
+    one pass over the rows; "recursive" is a recursive query over VARIANT, one round a level. ValueError if a kept column has
+    the name of one that is made.
     """
-    keep = list(keep)
+    _one_of("strategy", strategy, ("walk", "recursive"))
+    keep, made = list(keep), ["path", *(["segments"] if segments else []), *(["value"] if value else [])]
+    _free(keep, made)
     if strategy == "recursive":
         out = _recursive(df, json_col, keep)
-        return out.select(*map(_c, keep), "path", "segments", *([_value(F.col("value"), value).alias("value")] if value else []))
-    fields = [_PATH, _SEGS, *([_VALUE] if value else [])]
+        if leaves:
+            out = out.where(~kind_of(F.col("value")).isin("object", "array") | F.to_json("value").isin("{}", "[]"))
+        of = kind_of(F.col("value")) if value == "kind" else _value(F.col("value"), value) if value else None
+        return out.select(*map(_c, keep), *made[: 1 + segments], *([of.alias("value")] if value else []))
+    fields = [_PATH, *([_SEGS] if segments else []), *([_VALUE] if value else [])]
+    tell = kind if value == "kind" else lambda found: _clean(dump(found))
 
     def visit(document: object):
-        for path, segments, found in every_path(document):
-            yield (_clean(path), [_clean(s) for s in segments], *([_clean(dump(found))] if value else []))
+        for path, keys, found in every_path(document):
+            if not (leaves and found and isinstance(found, (dict, list))):
+                yield (*_told(path, keys)[: 1 + segments], *([tell(found)] if value else []))
 
     out = _walk(df, json_col, keep, fields, visit)
-    return out.withColumn("value", _value(F.parse_json("value"), value)) if value else out
+    return _shown([*keep, *made[: 1 + segments]], out, value) if value else out
+
+
+def visit_nodes(df: DataFrame, visit: Callable[[str, tuple[str, ...], object], Iterable[tuple]], schema: str | T.StructType, json_col: str = "json", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Rows (kept columns, columns of `schema`): whatever visit(path, segments, value) returns for each node of each valid document.
+
+    A value is a dict, a list, a str, a bool, None, or a `walk.Number`, a str with the text of a number. The function runs on
+    the executors. ValueError if a kept column has the name of one of the schema.
+    """
+    kind_ = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    _free(keep, kind_.names)
+    arrow = to_arrow_schema(kind_)
+    fields = [(f.name, f.dataType, arrow.field(i).type) for i, f in enumerate(kind_.fields)]
+
+    def every(document: object):
+        for node in every_path(document):
+            yield from visit(*node)
+
+    return _walk(df, json_col, list(keep), fields, every)
 
 
 def _recursive(df: DataFrame, json_col: str, keep: list[str]) -> DataFrame:
-    """All nodes by a recursive common table expression."""
+    """All nodes by a recursive common table expression, as deep as Spark's parser reads documents and without a limit of rows."""
     spark = df.sparkSession
     base = df.select(*(_c(c).alias(f"k{i}") for i, c in enumerate(keep)), parsed(_c(json_col)).alias("v")).where("v is not null")
     keys = ", ".join(f"k{i}" for i in range(len(keep)))
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
     query = f"""
-      WITH RECURSIVE nodes({keys}, path, segments, v) AS (
+      WITH RECURSIVE nodes({keys}, path, segments, v) MAX RECURSION LEVEL {LEVELS} AS (
         SELECT {keys}, '$', CAST(array() AS ARRAY<STRING>), v FROM {{base}}
         UNION ALL
         SELECT {', '.join(f'n.k{i}' for i in range(len(keep)))},
           CASE WHEN e.key IS NULL THEN concat(n.path, '[', e.pos, ']') ELSE concat(n.path, '.', e.key) END,
           array_append(n.segments, coalesce(e.key, CAST(e.pos AS STRING))), e.value
         FROM nodes n, LATERAL variant_explode(n.v) e
-      ) SELECT * FROM nodes"""
+      ) SELECT * FROM nodes LIMIT ALL"""
     return spark.sql(query, base=base).toDF(*keep, "path", "segments", "value")
 
 
@@ -139,45 +181,58 @@ def extract(df: DataFrame, exprs: Exprs, json_col: str = "json", keep: Sequence[
 
     exprs: one expression or several; a path that several match appears once, or with `which` once for each with its number.
     value: "variant", "json" for JSON text, or a SQL type for a cast that gives null where it fails.
-    semantics: "spec" as the language is defined; "observed" with the quirks of `observed_regex`, on flattened paths.
+    semantics: "spec" as the language is defined; "observed" with the quirks of `Observed`, on flattened paths.
     array_mode: "index", where an element's index is a segment, or "elementwise", where a pattern goes on in every element.
-    strategy: "direct" looks the finitely many literal paths up in the VARIANT, all inside Spark; "walk" walks each document
-    along the ways the patterns allow; "auto" takes the first where it can. Invalid documents give no rows.
+    strategy: "direct" looks finitely many literal paths up in the VARIANT, all inside Spark and parsed once; "walk" walks each
+    document along the ways the patterns allow; "auto" takes the first where it can. Invalid documents give no rows.
+    ValueError for an unknown option, one that the observed semantics do not know, or a kept column with the name of one made.
     """
-    found = _exprs(exprs)
-    keep = list(keep)
+    found, keep = _exprs(exprs), list(keep)
+    for what, given, known in (("semantics", semantics, SEMANTICS), ("array mode", array_mode, ARRAY_MODES), ("strategy", strategy, STRATEGIES)):
+        _one_of(what, given, known)
+    made = [*(["pattern_id"] if which else []), "path", "segments", "value"]
+    _free(keep, made)
+    fields = [*([_NUMBERS] if which else []), _PATH, _SEGS, _VALUE]
     if semantics == "observed":
-        out = match_observed(paths(df, json_col, keep, value="variant"), found, which)
-        return out.select(*map(_c, keep), *(["pattern_id"] if which else []), "path", "segments", _value(F.col("value"), value).alias("value"))
-    if semantics != "spec":
-        raise ValueError(f"unknown semantics {semantics!r}")
-    if array_mode not in ("index", "elementwise"):
-        raise ValueError(f"unknown array mode {array_mode!r}")
-    literals = _literals(found, array_mode) if strategy != "walk" else None
-    if strategy == "direct" and literals is None:
-        raise ValueError("these expressions have no short list of literal paths")
-    if literals:
-        return _direct(df, literals, json_col, keep, value, which)
+        if array_mode != "index" or strategy == "direct":
+            raise ValueError("the observed semantics know neither elementwise arrays nor look-ups")
+        tests = [Observed([e]) for e in found] if which else [Observed(found)]
+
+        def tried(document: object) -> Iterator[tuple]:
+            for path, segments, at in every_path(document):
+                flat = segments_of(path)
+                for n, test in enumerate(tests):
+                    if test.matches(flat):
+                        yield (*([n] if which else []), *_told(path, segments), _clean(dump(at)))
+
+        return _shown([*keep, *made[:-1]], _walk(df, json_col, keep, fields, tried), value)
     elementwise = array_mode == "elementwise"
-    automaton = Automaton(found)
+    if strategy != "walk":
+        if not elementwise and (literals := _literals(found)) is not None:
+            return _direct(df, literals, json_col, keep, value, which)
+        if strategy == "direct":
+            raise ValueError("these expressions have no short list of literal paths")
+    rows = _visitor(found, elementwise, which)
+    return _shown([*keep, *made[:-1]], _walk(df, json_col, keep, fields, rows), value)
 
-    def visit(document: object):
+
+def _visitor(exprs: list[PathExpr], elementwise: bool, which: bool) -> Callable[[object], Iterator[tuple]]:
+    automaton = Automaton(exprs)
+
+    def visit(document: object) -> Iterator[tuple]:
         for path, segments, numbers, at in matching_paths(document, automaton, elementwise):
-            row = (_clean(path), [_clean(s) for s in segments], _clean(dump(at)))
+            row = (*_told(path, segments), _clean(dump(at)))
             if which:
                 for n in numbers:
                     yield (n, *row)
             else:
                 yield row
 
-    out = _walk(df, json_col, keep, [*([_NUMBERS] if which else []), _PATH, _SEGS, _VALUE], visit)
-    return out.withColumn("value", _value(F.parse_json("value"), value))
+    return visit
 
 
-def _literals(exprs: list[PathExpr], array_mode: str, limit: int = 64) -> list[tuple[tuple[str, ...], list[int]]] | None:
+def _literals(exprs: list[PathExpr], limit: int = 64) -> list[tuple[tuple[str, ...], list[int]]] | None:
     """Literal paths of all expressions and the numbers of those that have them; None if they are too many or infinite."""
-    if array_mode != "index":
-        return None
     out: dict[tuple[str, ...], list[int]] = {}
     for number, e in enumerate(exprs):
         ways = literal_paths(e, limit)
@@ -190,8 +245,9 @@ def _literals(exprs: list[PathExpr], array_mode: str, limit: int = 64) -> list[t
 
 
 def _direct(df: DataFrame, literals, json_col: str, keep: list[str], value: str, which: bool) -> DataFrame:
+    """Look-ups of whole paths. Nothing filters before: where nothing is found, or nothing parsed, no row is made."""
     inner = [f"k{i}" for i in range(len(keep))]
-    base = df.select(*(_c(c).alias(n) for n, c in zip(inner, keep)), parsed(_c(json_col)).alias("v")).where("v is not null")
+    base = df.select(*(_c(c).alias(n) for n, c in zip(inner, keep)), parsed(_c(json_col)).alias("v"))
     found = []
     for segments, numbers in literals:
         for p in variant_paths(list(segments)) or ():
@@ -203,84 +259,128 @@ def _direct(df: DataFrame, literals, json_col: str, keep: list[str], value: str,
             for n in numbers if which else numbers[:1]:
                 row = [F.lit(n).alias("pattern_id"), F.lit(shown).alias("path"), F.array(*map(F.lit, segments)).cast("array<string>").alias("segments"), F.try_variant_get("v", p, "variant").alias("value")]
                 found.append(F.struct(*row[0 if which else 1 :]))
+    if not found:
+        return _nothing(df, keep, value, which)
     hits = F.filter(F.array(*found), lambda x: x["value"].isNotNull())
-    out = base.select(*inner, F.inline(hits))
-    return out.withColumn("value", _value(F.col("value"), value)).toDF(*keep, *out.columns[len(keep) :])
+    return _finished(base, hits, inner, keep, value, which)
+
+
+def _finished(df: DataFrame, hits: Column, inner: list[str], keep: list[str], value: str, which: bool) -> DataFrame:
+    """A row for each element of `hits`, which is no column yet: for a column Catalyst would filter by its size, below the projection
+    that makes it and so by making it twice."""
+    out = df.select(*inner, F.inline(hits))
+    return out.withColumn("value", _value(F.col("value"), value)).toDF(*keep, *(["pattern_id"] if which else []), "path", "segments", "value")
+
+
+def _nothing(df: DataFrame, keep: list[str], value: str, which: bool) -> DataFrame:
+    none = [*([F.lit(0).alias("pattern_id")] if which else []), F.lit("").alias("path"), F.array().cast("array<string>").alias("segments"), _value(F.parse_json(F.lit("0")), value).alias("value")]
+    return df.select(*map(_c, keep), *none).where("false")
 
 
 def match(df: DataFrame, exprs: Exprs, segments: Column | None = None, path: Column | None = None, matches_col: str = "matches", semantics: str = "spec") -> DataFrame:
     """`df` with a column that tells whether a path, given as segments or as text, matches one of the expressions.
 
-    A regular expression over the encoded path, evaluated inside Spark; only where repetitions are ambiguous, so that a
-    backtracking matcher could need exponential time, an automaton runs over Arrow batches instead.
+    A regular expression over the encoded path, evaluated inside Spark. Where a matcher that backtracks could need
+    exponential time (ambiguous repetitions, any under the observed semantics) or groups nest deep, an automaton runs over the
+    different paths of Arrow batches instead. A null path gives null. ValueError if `df` has a column `matches_col`.
     """
+    _one_of("semantics", semantics, SEMANTICS)
+    _free(df.columns, [matches_col])
     found = _exprs(exprs)
-    segs = segments if segments is not None else split_path(path)
+    enc = encoded(_segments(segments, path))
     if semantics == "observed":
-        return df.withColumn(matches_col, encoded(segs).rlike(observed_regex(found)))
-    if all(map(repeats_are_plain, found)):
-        return df.withColumn(matches_col, encoded(segs).rlike("|".join(map(to_regex, found)) if found else "(?!)"))
-    automaton = Automaton(found)
+        try:
+            regex = None if any(x.repeated for e in found for x in e.segments if isinstance(x, Group)) else observed_regex(found, 20_000)
+        except ValueError:
+            regex = None
+        if regex is not None:
+            return df.withColumn(matches_col, enc.rlike(regex))
+        accepts = Observed(found).matches
+    else:
+        if all(Automaton([e]).plain() and depth(e) <= 100 for e in found):
+            return df.withColumn(matches_col, enc.rlike("|".join(to_regex(e, possessive=True) for e in found) if found else "(?!)"))
+        accepts = Automaton(found).matches
+
+    @F.arrow_udf(T.BooleanType())
+    def test(paths: pa.Array) -> pa.Array:
+        return _each_once(paths, accepts, pa.bool_())
 
-    @F.pandas_udf(T.BooleanType())
-    def accepts(s):
-        return s.map(lambda x: None if x is None else automaton.matches(x))
+    return df.withColumn(matches_col, test(enc))
 
-    return df.withColumn(matches_col, accepts(segs))
 
+def _segments(segments: Column | None, path: Column | None) -> Column:
+    if (segments is None) == (path is None):
+        raise ValueError("give the paths either as segments or as text")
+    return segments if segments is not None else split_path(path)
 
-def match_which(df: DataFrame, patterns: DataFrame, segments: Column | None = None, path: Column | None = None, limit: int = 10_000, id_col: str = "pattern_id", expr_col: str = "expr") -> DataFrame:
+
+def _each_once(paths: pa.Array, f: Callable[[list[str]], object], kind: pa.DataType) -> pa.Array:
+    """f of the segments of each encoded path; equal paths of a batch are looked at once."""
+    known = paths.dictionary_encode()
+    return pa.array([f(decode_path(p)) for p in known.dictionary.to_pylist()], kind).take(known.indices)
+
+
+def match_which(df: DataFrame, patterns: DataFrame, segments: Column | None = None, path: Column | None = None, id_col: str = "pattern_id", expr_col: str = "expr") -> DataFrame:
     """Rows of `df` with the id of each pattern that their path matches, a row for every match.
 
-    `patterns` (id, expression) is a table. Its expressions are compiled on the driver, as their language has to be parsed,
-    so it must have at most `limit` rows: more raise an error. The compiled ones are joined by a broadcast.
+    `patterns` (id, expression) is a table. Its expressions are compiled on the driver, as their language has to be parsed, to
+    one automaton, which is broadcast with the ids; so the table must fit in the driver's memory. A null path matches
+    nothing, a null expression is none; patterns that are there twice give a row each. ValueError if `df` has a column `id_col`.
     """
-    rows = patterns.select(_c(id_col), _c(expr_col)).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} patterns")
-    ids = [r[0] for r in rows]
-    automaton = Automaton([r[1] for r in rows])
+    _free(df.columns, [id_col])
+    rows = [r for r in patterns.select(_c(id_col), _c(expr_col)).collect() if r[1] is not None]
+    kind = patterns.schema[id_col].dataType
+    ids = patterns.sparkSession.sparkContext.broadcast((Automaton([r[1] for r in rows]), [r[0] for r in rows]))
+    arrow = to_arrow_type(kind)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def which(s):
-        return s.map(lambda x: [] if x is None else list(automaton.which(x)))
+    @F.arrow_udf(T.ArrayType(kind))
+    def which(paths: pa.Array) -> pa.Array:
+        automaton, names = ids.value
+        return _each_once(paths, lambda p: [names[n] for n in automaton.which(p)], pa.list_(arrow))
 
-    numbered = df.withColumn("_number", F.explode(which(segments if segments is not None else split_path(path))))
-    if not ids:
-        return numbered.withColumn(id_col, F.lit(None).cast(patterns.schema[id_col].dataType)).drop("_number")
-    return numbered.withColumn(id_col, F.element_at(F.array(*(F.lit(i) for i in ids)), F.col("_number") + 1).cast(patterns.schema[id_col].dataType)).drop("_number")
+    return df.withColumn(id_col, F.explode(which(encoded(_segments(segments, path)))))
 
 
-def match_observed(df: DataFrame, exprs: Iterable[PathExpr], which: bool = False) -> DataFrame:
-    """Rows of a table of paths that match under the observed semantics; patterns of a set influence each other, so with
-    `which` each is matched alone."""
-    enc = encoded(split_path(F.col("path")))
-    if not which:
-        return df.where(enc.rlike(observed_regex(exprs)))
-    hits = F.filter(F.array(*(F.when(enc.rlike(observed_regex([e])), F.lit(n)) for n, e in enumerate(exprs))), lambda x: x.isNotNull())
-    return df.withColumn("pattern_id", F.explode(hits))
+def values(df: DataFrame, path: str | Column, json_col: str = "json", keep: Sequence[str] = ("doc_id",), value: str = "json") -> DataFrame:
+    """Rows (kept columns, path, value, reason), one for each row of `df`: the value at one path, or why there is none.
+
+    path: a text such as `$.a.b[0]` or a column of such texts. reason is null for a value that was found, else one of
+    "invalid document", "not found" (no such member), "out of bounds", "invalid index" (an element asked for by what is no
+    integer) and "cannot navigate" (into a text, number, boolean or null), followed by the segment at which it failed. An index
+    may have a sign and leading zeros. A null path has a null value and reason. ValueError for a clash with a kept column.
+    """
+    keep = list(keep)
+    _free(keep, ["path", "value", "reason"])
+    text = F.lit(path) if isinstance(path, str) else path
+    inner = [f"k{i}" for i in range(len(keep))]
+    base = df.select(*(_c(c).alias(n) for n, c in zip(inner, keep)), text.alias("path"), why_not(parsed(_c(json_col)), split_path(text)).alias("found"))
+    return base.select(*inner, "path", _value(F.col("found.value"), value).alias("value"), F.col("found.reason").alias("reason")).toDF(*keep, "path", "value", "reason")
 
 
 def summarise(df: DataFrame, exprs: Exprs, json_col: str = "json", keep: Sequence[str] = ("doc_id",), semantics: str = "spec", array_mode: str = "index", all_paths: bool = False) -> DataFrame:
     """Rows (kept columns, total_paths, matching_paths, matches, success[, all_paths]), one for each valid document.
 
     One walk a document counts and tests its paths, so nothing is grouped or shuffled. matches and all_paths are sorted.
+    ValueError for an unknown option or a kept column with the name of one that is made.
     """
-    found = _exprs(exprs)
-    if semantics == "observed":
-        regex = re.compile(observed_regex(found))
-        accepts = lambda path, segments: regex.search(encode_path(segments_of(path))) is not None
-    else:
-        automaton = Automaton(found)
-        accepts = None
-    elementwise = array_mode == "elementwise"
-
-    def visit(document: object):
-        every = [(p, s) for p, s, _ in every_path(document)]
-        hits = [p for p, s in every if accepts(p, s)] if accepts else [p for p, *_ in matching_paths(document, automaton, elementwise)]
-        hits = sorted(map(_clean, hits))
-        yield (len(every), len(hits), hits, bool(hits), *([sorted(_clean(p) for p, _ in every)] if all_paths else []))
-
+    _one_of("semantics", semantics, SEMANTICS)
+    _one_of("array mode", array_mode, ARRAY_MODES)
+    found, elementwise = _exprs(exprs), array_mode == "elementwise"
+    if semantics == "observed" and elementwise:
+        raise ValueError("the observed semantics do not know elementwise arrays")
     texts = (T.ArrayType(T.StringType()), pa.list_(pa.string()))
     fields = [("total_paths", T.LongType(), pa.int64()), ("matching_paths", T.LongType(), pa.int64()), ("matches", *texts), ("success", T.BooleanType(), pa.bool_()), *([("all_paths", *texts)] if all_paths else [])]
+    _free(keep, [f[0] for f in fields])
+    observed, automaton = Observed(found), Automaton(found)
+
+    def visit(document: object) -> Iterator[tuple]:
+        if semantics == "observed" or all_paths:
+            every = [p for p, _, _ in every_path(document)]
+            total = len(every)
+        else:
+            every, total = [], count_paths(document)
+        hits = [p for p in every if observed.matches(segments_of(p))] if semantics == "observed" else [p for p, *_ in matching_paths(document, automaton, elementwise)]
+        hits = sorted(map(_clean, hits))
+        yield (total, len(hits), hits, bool(hits), *([sorted(map(_clean, every))] if all_paths else []))
+
     return _walk(df, json_col, list(keep), fields, visit)

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from enum import Enum
 
 
 class PathSyntaxError(ValueError):
-    """The text is no path expression; `position` counts characters from 0."""
+    """The text is no path expression; `position` counts characters from 0, `part` is "lexer" or "parser"."""
 
-    def __init__(self, message: str, position: int):
-        super().__init__(f"{message} at position {position}")
-        self.position = position
+    def __init__(self, message: str, position: int, part: str = "parser"):
+        super().__init__(f"{part} error: {message} at position {position}")
+        self.position, self.part = position, part
 
 
 class Kind(Enum):
@@ -57,7 +58,7 @@ def tokenize(text: str) -> list[Token]:
     while at < len(text):
         m = _LEX.match(text, at)
         if m is None or m["broken"]:
-            raise PathSyntaxError("unclosed bracket" if text[at] == "[" else "'{*' without '}'" if m else f"unexpected character {text[at]!r}", at)
+            raise PathSyntaxError("unclosed bracket" if text[at] == "[" else "'{*' without '}'" if m else f"unexpected character {text[at]!r}", at, "lexer")
         if m["name"]:
             out.append(Token(Kind.NAME, m["name"], at))
         elif m["quoted"]:
@@ -99,7 +100,7 @@ class Bracket:
         return f'["{self.raw}"]' if self.quoted else f"[{self.raw}]"
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Group:
     """One of the alternatives, each a sequence of nodes; repeated: any number of times, none included."""
 
@@ -107,17 +108,54 @@ class Group:
     repeated: bool = False
 
     def to_text(self) -> str:
-        return f"({'|'.join(''.join(n.to_text() for n in a) for a in self.alternatives)})" + "{*}" * self.repeated
+        return _rendered((self,), False)
 
     def to_expr(self) -> str:
-        return f"({'|'.join(_joined(a)[1:] for a in self.alternatives)})" + "{*}" * self.repeated
+        return _rendered((self,), True)[1:]
 
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Group) and list(flat((self,))) == list(flat((other,)))
 
-Node = Property | Bracket | Group
+    def __hash__(self) -> int:
+        return hash(tuple(flat((self,))))
 
 
-def _joined(nodes: tuple[Node, ...]) -> str:
-    return "".join(f".{n.to_expr()}" if isinstance(n, Group) else n.to_text() for n in nodes)
+Node = Property | Bracket | Group
+Sign = tuple[str, bool]
+
+
+def flat(nodes: tuple[Node, ...]) -> Iterator[Property | Bracket | Sign]:
+    """A tree in the order of its text: keys as they are, ("(", repeated), ("|", False) and (")", repeated). Groups may nest
+    however deep, as nothing that goes through a tree calls itself."""
+    todo: list[Node | Sign] = list(reversed(nodes))
+    while todo:
+        x = todo.pop()
+        if not isinstance(x, Group):
+            yield x
+            continue
+        yield "(", x.repeated
+        todo.append((")", x.repeated))
+        for k in range(len(x.alternatives) - 1, -1, -1):
+            todo.extend(reversed(x.alternatives[k]))
+            if k:
+                todo.append(("|", False))
+
+
+def _rendered(nodes: tuple[Node, ...], expr: bool) -> str:
+    """Text of a sequence; with `expr` a group has a dot before it and the first member of an alternative none."""
+    out: list[str] = []
+    first = False
+    for x in flat(nodes):
+        if isinstance(x, Bracket):
+            out.append(x.to_text())
+        elif isinstance(x, Property):
+            out.append(x.name if expr and first else f".{x.name}")
+        elif x[0] == "(":
+            out.append(".(" if expr and not first else "(")
+        else:
+            out.append(x[0] + "{*}" * x[1])
+        first = isinstance(x, tuple) and x[0] != ")"
+    return "".join(out)
 
 
 @dataclass(frozen=True)
@@ -128,12 +166,12 @@ class PathExpr:
     root: str = "$"
 
     def to_text(self) -> str:
-        return self.root + "".join(n.to_text() for n in self.segments)
+        return self.root + _rendered(self.segments, False)
 
     __str__ = to_text
 
     def to_expr(self) -> str:
-        return self.root + _joined(self.segments)
+        return self.root + _rendered(self.segments, True)
 
 
 class _Reader:
@@ -157,41 +195,39 @@ class _Reader:
         token = self.peek()
         raise PathSyntaxError(f"expected {what}, found {token.value or token.kind.value!r}", token.position)
 
+    def keys(self, nodes: list[Node]) -> None:
+        while key := self.take(Kind.KEY):
+            nodes.append(Bracket(key.value, key.quoted))
+
     def expression(self) -> PathExpr:
         self.need(Kind.ROOT, "'$'")
         nodes: list[Node] = []
-        while self.peek().kind is not Kind.END:
-            if key := self.take(Kind.KEY):
-                nodes.append(Bracket(key.value, key.quoted))
-            elif self.take(Kind.DOT):
-                name = self.take(Kind.NAME)
-                nodes.append(Property(name.value) if name else self.group())
+        open_: list[tuple[list[Node], list[tuple[Node, ...]]]] = []  # what stands before each open group, and its finished ways
+        while True:
+            if not open_:
+                self.keys(nodes)
+                if self.take(Kind.END):
+                    return PathExpr(tuple(nodes))
+                self.need(Kind.DOT, "'.', '[' or the end")
+            if name := self.take(Kind.NAME):
+                nodes.append(Property(name.value))
+                self.keys(nodes)
             else:
-                self.fail("'.', '[' or the end")
-        return PathExpr(tuple(nodes))
-
-    def group(self) -> Group:
-        self.need(Kind.OPEN, "a name or '('")
-        ways = [self.sequence()]
-        while self.take(Kind.BAR):
-            ways.append(self.sequence())
-        self.need(Kind.CLOSE, "'|' or ')'")
-        return Group(tuple(ways), self.take(Kind.REPEAT) is not None)
-
-    def sequence(self) -> tuple[Node, ...]:
-        nodes = self.member()
-        while self.take(Kind.DOT):
-            nodes += self.member()
-        return tuple(nodes)
-
-    def member(self) -> list[Node]:
-        name = self.take(Kind.NAME)
-        if not name:
-            return [self.group()]
-        nodes: list[Node] = [Property(name.value)]
-        while key := self.take(Kind.KEY):
-            nodes.append(Bracket(key.value, key.quoted))
-        return nodes
+                self.need(Kind.OPEN, "a name or '('")
+                open_.append((nodes, []))
+                nodes = []
+                continue
+            while open_ and not self.take(Kind.DOT):  # behind a member of a group
+                before, ways = open_[-1]
+                if self.take(Kind.BAR):
+                    ways.append(tuple(nodes))
+                    nodes = []
+                    break
+                self.need(Kind.CLOSE, "'|' or ')'")
+                ways.append(tuple(nodes))
+                before.append(Group(tuple(ways), self.take(Kind.REPEAT) is not None))
+                nodes = before
+                open_.pop()
 
 
 def parse(text: str) -> PathExpr:

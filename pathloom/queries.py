@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom import fixtures
-from pathloom.functions.json import array_index, format_json, kind_of, parsed, split_path, value_at
-from pathloom.operators.documents import extract, match, match_which, paths, summarise, with_validity
+from pathloom import cli, fixtures
+from pathloom.functions.json import array_index, format_json, parsed, split_path, value_at
+from pathloom.operators.documents import extract, match, match_which, paths, summarise, values, with_validity
 from pathloom.operators.patterns import PatternSet
 from pathloom.plans.syntax import PathSyntaxError, parse, tokenize
-from pathloom.sources.files import read_document_stream
+from pathloom.sources.files import read_document_stream, read_documents, write_results
 from pathloom.streaming.queries import window_counts, write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,21 +97,38 @@ def expression_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, rows, "expr string, parsed string, segment_count int, reads_again boolean")
 
 
-_BAD = [e for e in fixtures.BAD_EXPRESSIONS if "\0" not in e]
-
-
-@_query(_values([(e, True) for e in _BAD], ("expr", "fails")))
+@_query(_values([(e.replace("\0", "<NUL>"), part) for e, part in fixtures.BAD_EXPRESSIONS], ("expr", "part")))
 def expression_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that are no expressions."""
+    """Texts that are no expressions, and which part says so."""
 
-    def fails(e: str) -> bool:
+    def part(e: str) -> str | None:
         try:
             parse(e)
-        except PathSyntaxError:
-            return True
-        return False
+        except PathSyntaxError as x:
+            return x.part
+        return None
+
+    return _rows(spark, [(e.replace("\0", "<NUL>"), part(e)) for e, _ in fixtures.BAD_EXPRESSIONS], "expr string, part string")
+
+
+@_query(_values([("|".join(p), t) for p, t in fixtures.TREES], ("patterns", "tree")))
+def pattern_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of patterns as printed tries."""
+    return _rows(spark, [("|".join(p), PatternSet(p).tree()) for p, _ in fixtures.TREES], "patterns string, tree string")
+
+
+@_query(_values(fixtures.COMMANDS, ("args", "code", "output")))
+def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the command line prints and returns: parse, test, validate and extract with their flags."""
 
-    return _rows(spark, [(e, fails(e)) for e in _BAD], "expr string, fails boolean")
+    def run(args: str) -> tuple[int, str]:
+        with tempfile.NamedTemporaryFile("w", suffix=".json", encoding="utf-8") as f, contextlib.redirect_stdout(io.StringIO()) as out, contextlib.redirect_stderr(io.StringIO()):
+            f.write(fixtures.PERSON)
+            f.flush()
+            code = cli.main([a.replace("FILE", f.name) for a in args.split(" ")])
+            return code, out.getvalue().replace(f.name, "FILE")
+
+    return _rows(spark, [(args, *run(args)) for args, _, _ in fixtures.COMMANDS], "args string, code int, output string")
 
 
 # --- matching ---
@@ -161,10 +181,19 @@ _HITS = {"$.order.status": (0, 3), "$.order.priority": (0,), "$.order.lines": (1
     + ") p"
 )
 def multi_pattern_which(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of a table of patterns each path of each order matches."""
-    every = paths(order_documents(spark, sf_dir), keep=["o_orderkey"])
-    patterns = _rows(spark, list(enumerate(_PATTERNS)), "pattern_id int, expr string")
-    return match_which(every, patterns, segments=F.col("segments")).select("o_orderkey", "path", "pattern_id")
+    """Which of several patterns the paths of each order match, in one walk along the ways that they allow."""
+    return extract(order_documents(spark, sf_dir), _PATTERNS, keep=["o_orderkey"], which=True, value="variant").select("o_orderkey", "path", "pattern_id")
+
+
+@_query(
+    """SELECT c.c_custkey, p.path, p.pattern_id FROM customer c, (VALUES ('$.item.title', 'titles'), ('$.item.next.title', 'titles'), ('$.item.next.side.next.title', 'titles'),
+      ('$.item', 'chain'), ('$.item.next', 'chain'), ('$.item.next.side.next', 'chain')) p(path, pattern_id)"""
+)
+def match_which_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of a table of patterns each path of each customer's document matches."""
+    every = paths(place_documents(spark, sf_dir), keep=["c_custkey"])
+    patterns = _rows(spark, [("titles", "$.item.(next|side.next){*}.title"), ("chain", "$.item.(next|side.next){*}"), ("none", "$.item.side"), (None, None)], "pattern_id string, expr string")
+    return match_which(every, patterns, segments=F.col("segments")).select("c_custkey", "path", "pattern_id")
 
 
 @_query(
@@ -176,6 +205,28 @@ def pattern_set_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(order_documents(spark, sf_dir), ["$.order.status", "$.order.(status|key)", "$[order][key]"], keep=["o_orderkey"]).drop("segments")
 
 
+_LONG = [
+    (0, "$.(a|b){*}.a" + ".(a|b)" * 20, "a" * 30, True),
+    (1, "$.(a|b){*}.a" + ".(a|b)" * 20, "b" * 30, False),
+    (2, "$" + ".a" * 5000, "a" * 5000, True),
+    (3, "$" + ".a" * 5000, "a" * 4999, False),
+    (4, "$." + "(" * 1000 + "a" + ")" * 1000, "a", True),
+    (5, "$.(a|a.a){*}.z", "a" * 4000, False),
+    (6, "$.(a|a.a){*}.z", "a" * 4000 + "z", True),
+    (7, "$.((a){*}){*}", "a" * 4000, True),
+]
+
+
+@_query(_values([(n, m) for n, _, _, m in _LONG], ("n", "matches")))
+def deep_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions with exponentially many states, thousands of segments, deep groups, or ambiguous repetitions."""
+    out = None
+    for n, expr, path, _ in _LONG:
+        one = match(_rows(spark, [(n, list(path))], "n int, segments array<string>"), expr, segments=F.col("segments")).select("n", "matches")
+        out = one if out is None else out.union(one)
+    return out
+
+
 # --- documents ---
 
 _TREE = "FROM events e, json_tree(e.props) t"
@@ -214,6 +265,43 @@ def events_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise(_events(spark, sf_dir), "$.(k|none)", keep=["event_id"]).withColumn("matches", F.array_join("matches", ","))
 
 
+@_query(
+    """SELECT o_orderkey, p.path, CASE p.k WHEN 0 THEN o_orderkey::VARCHAR WHEN 1 THEN (SELECT count(*) FROM lineitem l WHERE l.l_orderkey = o_orderkey)::VARCHAR END AS value,
+      CASE p.k WHEN 2 THEN 'not found: none' WHEN 3 THEN 'out of bounds: 99' WHEN 4 THEN 'invalid index: qty' WHEN 5 THEN 'cannot navigate: x' END AS reason
+    FROM orders, (VALUES (0, '$.order.key'), (1, '$.order.lines'), (2, '$.order.none.x'), (3, '$.order.lines[99].n'), (4, '$.order.lines.qty'), (5, '$.order.status.x')) p(k, path)
+    WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT -1, '$.order.key', NULL, 'invalid document'"""
+)
+def extract_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value at a path that differs from row to row, or why there is none."""
+    asked = F.explode(F.array(*map(F.lit, ("$.order.key", "$.order.lines", "$.order.none.x", "$.order.lines[99].n", "$.order.lines.qty", "$.order.status.x"))))
+    docs = order_documents(spark, sf_dir).select("o_orderkey", "json", asked.alias("p"))
+    docs = docs.union(_rows(spark, [(-1, "{", "$.order.key")], "o_orderkey bigint, json string, p string"))
+    found = values(docs, F.col("p"), keep=["o_orderkey"], value="variant")
+    count = F.size(F.try_variant_get("value", "$", "array<variant>")).cast("string")
+    return found.select("o_orderkey", "path", F.when(F.col("path") == "$.order.lines", count).otherwise(F.try_variant_get("value", "$", "string")).alias("value"), "reason")
+
+
+@_query(
+    """SELECT form, count(*) AS n, sum(x) AS total FROM (SELECT event_id AS x FROM events) e, (VALUES ('lines'), ('orc'), ('parquet'), ('whole')) f(form)
+    WHERE form <> 'whole' OR x < 20 GROUP BY form"""
+)
+def sources_and_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read in each form, and results of extraction written in each form and read again."""
+    docs = _table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("doc_id"), F.to_json(F.struct(F.col("event_id").alias("x"))).alias("json"))
+    out = None
+    for form, sink in (("lines", "json"), ("whole", "parquet"), ("parquet", "orc"), ("orc", "parquet")):
+        folder = _folder(spark, form)
+        if form == "whole":  # a folder and so a file for each document
+            docs.where(F.col("doc_id").cast("long") < 20).withColumnRenamed("json", "value").write.partitionBy("doc_id").text(f"{folder}/docs")
+        else:
+            write_results(docs.select("json") if form == "lines" else docs, f"{folder}/docs", "text" if form == "lines" else form)
+        found = extract(read_documents(spark, f"{folder}/docs/*/*" if form == "whole" else f"{folder}/docs", form), "$.x", value="bigint")
+        write_results(found.select("value"), f"{folder}/found", sink)
+        back = spark.read.format(sink).load(f"{folder}/found").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.lit(form).alias("form"), "n", "total")
+        out = back if out is None else out.union(back)
+    return out
+
+
 @_query("SELECT event_id, json_valid(props) AS valid FROM events")
 def events_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which texts are documents."""
@@ -240,8 +328,8 @@ def events_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def orders_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All paths of all orders, indices left out, with the kinds of their values and how many there are."""
-    every = paths(order_documents(spark, sf_dir), keep=[], value="variant")
-    return every.groupBy(F.regexp_replace("path", r"\[\d+\]", "[]").alias("path"), kind_of(F.col("value")).alias("kind")).agg(F.count("*").alias("n"))
+    every = paths(order_documents(spark, sf_dir), keep=[], value="kind", segments=False)
+    return every.groupBy(F.regexp_replace("path", r"\[\d+\]", "[]").alias("path"), F.col("value").alias("kind")).agg(F.count("*").alias("n"))
 
 
 @_query(
@@ -325,20 +413,20 @@ def odd_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.array_join("segments", "|").alias("segments"), "value")
 
 
-@_query(_values([("0", 0), ("12", 12), ("[3]", 3), ("-1", None), ("a", None), ("99999999999", None), ("", None)], ("segment", "i")))
+@_query(_values([("0", 0), ("12", 12), ("[3]", 3), ("-1", None), ("a", None), ("99999999999", None), ("", 0), ("[]", 0), ("[", None)], ("segment", "i")))
 def array_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments read as array indices."""
-    return _rows(spark, [(s,) for s in ("0", "12", "[3]", "-1", "a", "99999999999", "")], "segment string").withColumn("i", array_index(F.col("segment")))
+    return _rows(spark, [(s,) for s in ("0", "12", "[3]", "-1", "a", "99999999999", "", "[]", "[")], "segment string").withColumn("i", array_index(F.col("segment")))
 
 
 # --- streams ---
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="stream-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 

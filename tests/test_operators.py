@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom import fixtures
 from pathloom.functions.json import array_index, format_json, formatted, is_valid, kind_of, parsed, segments_of, split_path, value_at
-from pathloom.operators.documents import extract, match, match_which, paths, summarise, with_validity
+from pathloom.operators.documents import extract, match, match_which, paths, summarise, values, visit_nodes, with_validity
 from pathloom.operators.walk import dump, every_path, load, matching_paths
 from pathloom.plans.automaton import Automaton
 from pathloom.plans.syntax import PathSyntaxError
@@ -109,8 +109,13 @@ def test_matching_columns(spark):
     patterns = spark.createDataFrame([("x", "$.a.b"), ("y", "$.(a|b){*}"), ("z", "$.q")], "pattern_id string, expr string")
     assert sorted(tuple(r) for r in match_which(text, patterns, path=F.col("p")).collect()) == [("$.a.b", "x"), ("$.a.b", "y")]
     assert match_which(text, patterns.limit(0), path=F.col("p")).count() == 0
-    with pytest.raises(ValueError):
-        match_which(text, patterns, path=F.col("p"), limit=2)
+    more = spark.createDataFrame([(None, "$.a.b"), ("y", None), ("x", "$.a.b")], "pattern_id string, expr string")
+    assert sorted(str(r["pattern_id"]) for r in match_which(text, more, path=F.col("p")).collect()) == ["None", "x"]
+    many = spark.createDataFrame([(i, f"$.a.b.c{i}") for i in range(20_000)] + [(20_000, "$.a.b")], "pattern_id long, expr string")
+    assert [tuple(r) for r in match_which(text, many, path=F.col("p")).collect()] == [("$.a.b", 20_000)]
+    for bad in ({}, {"path": F.col("p"), "segments": F.array(F.col("p"))}):
+        with pytest.raises(ValueError):
+            match(text, "$.a", **bad)
 
 
 def test_validity(spark):
@@ -123,7 +128,9 @@ def test_value_functions(spark):
     df = spark.createDataFrame([(DOC,)], "json string").select(parsed(F.col("json")).alias("v"))
     got = df.select(value_at(F.col("v"), ["a", "0"], "string"), value_at(F.col("v"), ["a", "b", "1", "c"], "double"), value_at(F.col("v"), ["a", "zz"], "string"), kind_of(value_at(F.col("v"), ["b"]))).collect()[0]
     assert tuple(got) == ("zero", 1.5, None, "null")
-    assert [r[0] for r in spark.createDataFrame([("7",), ("x",), ("-1",), ("",), (None,)], "s string").select(array_index(F.col("s"))).collect()] == [7, None, None, None, None]
+    assert [r[0] for r in spark.createDataFrame([("7",), ("x",), ("-1",), ("",), ("[]",), (None,)], "s string").select(array_index(F.col("s"))).collect()] == [7, None, None, 0, 0, None]
+    deep = spark.createDataFrame([("[" * 12 + '{"a\'\\"b": {"0": 5}}' + "]" * 12,)], "json string").select(parsed(F.col("json")).alias("v"))
+    assert deep.select(value_at(F.col("v"), ["0"] * 12 + ["a'\"b", "0"], "int")).collect()[0][0] == 5
 
 
 def test_formatting(spark):
@@ -148,14 +155,140 @@ def test_empty_table_and_errors(spark, docs):
     none = docs.limit(0)
     assert extract(none, "$.a").count() == extract(none, "$.(a){*}").count() == paths(none).count() == summarise(none, "$").count() == 0
     assert extract(docs, []).count() == 0
-    for bad in ({"semantics": "x"}, {"array_mode": "x"}, {"strategy": "direct"}):
+    for bad in ({"semantics": "x"}, {"array_mode": "x"}, {"strategy": "x"}, {"semantics": "observed", "array_mode": "elementwise"}, {"semantics": "observed", "strategy": "direct"}, {"strategy": "direct"}, {"strategy": "direct", "array_mode": "elementwise"}):
         with pytest.raises(ValueError):
             extract(docs, "$.(a){*}", **bad)
+    for f in (summarise, lambda *a, **k: match(docs, "$.a", path=F.col("json"), **k)):
+        with pytest.raises(ValueError):
+            f(docs, "$.a", semantics="x")
+    with pytest.raises(ValueError):
+        summarise(docs, "$.a", array_mode="x")
+    with pytest.raises(ValueError):
+        paths(docs, strategy="x")
+    with pytest.raises(ValueError):
+        extract(docs, "$.(" + "|".join(f"a{i}" for i in range(65)) + ")", strategy="direct")
     with pytest.raises(PathSyntaxError):
         extract(docs, "a")
 
 
-def test_literal_paths_stay_in_the_engine(docs):
-    plan = extract(docs, "$.a.(b|c)")._jdf.queryExecution().executedPlan().toString()
-    assert "MapInArrow" not in plan and "Exchange" not in plan
-    assert "Exchange" not in extract(docs, "$.(a|b){*}")._jdf.queryExecution().executedPlan().toString()
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_are_parsed_once_inside_spark(docs):
+    for expr in ("$.a.(b|c)", "$", "$[0].a[1]"):
+        plan = plan_of(extract(docs, expr, value="string"))
+        assert "MapInArrow" not in plan and "Exchange" not in plan
+        assert plan.count("parse_json(json") + plan.count("parseJson(json") == 1, plan
+    assert "Exchange" not in plan_of(extract(docs, "$.(a|b){*}", strategy="walk"))
+
+
+def test_clashing_columns(docs):
+    """Inside, columns have neutral names; a kept column with the name of one that is made is an error."""
+    odd = docs.select("doc_id", "json", *(F.col("doc_id").alias(n) for n in ("k0", "v", "hits", "n0_0", "slow", "every", "found", "value", "path", "segments", "pattern_id", "reason", "a.b")))
+    free = ["doc_id", "k0", "v", "hits", "n0_0", "slow", "every", "found", "a.b"]
+    want = rows(extract(docs, "$.a.b").select("doc_id", "path", "value"))
+    for strategy in ("direct", "walk"):
+        for expr in ("$.a.b", "$.(a|b){*}.b")[: 2 if strategy == "walk" else 1]:
+            out = extract(odd, expr, keep=free, strategy=strategy)
+            assert out.columns == [*free, "path", "segments", "value"]
+            assert set(want) <= set(rows(out.select("doc_id", "path", "value")))
+        for clash in ("value", "path", "segments", "Value"):
+            with pytest.raises(ValueError):
+                extract(odd, "$.a.b", keep=[clash], strategy=strategy)
+    assert extract(odd, "$.a.b", keep=["pattern_id"]).columns[0] == "pattern_id"
+    for f in (lambda: extract(odd, "$.a", keep=["pattern_id"], which=True), lambda: paths(odd, keep=["path"]), lambda: summarise(odd.withColumnRenamed("v", "matches"), "$", keep=["matches"]), lambda: with_validity(odd, valid_col="hits"), lambda: match(odd, "$", path=F.col("json"), matches_col="slow"), lambda: values(odd, "$", keep=["reason"]), lambda: match_which(odd, odd, path=F.col("json")), lambda: extract(odd, "$", keep=["doc_id", "doc_id"])):
+        with pytest.raises(ValueError):
+            f()
+    assert rows(paths(odd, keep=free, strategy="recursive").select("path")) == rows(paths(docs).select("path"))
+
+
+nested = st.recursive(st.one_of(st.none(), st.booleans(), st.integers(-9, 9), st.sampled_from(["", "x", "é"])), lambda t: st.one_of(st.lists(t, max_size=3), st.lists(st.lists(t, max_size=2), max_size=2), st.dictionaries(st.sampled_from(["a", "b", "0", "1"]), t, max_size=3)), max_leaves=25)
+
+
+@given(st.lists(nested, min_size=10, max_size=30), st.lists(st.sampled_from(["$", "$.a", "$.(a|b){*}.b", "$.(a|b).(a|b)", "$.a[0]", "$[0][1]", "$.b.(a|b[0])", "$.(a|a.b).b", "$.a.b", "$.a.b.a.b"]), min_size=1, max_size=2), st.booleans(), st.booleans())
+@settings(max_examples=12, deadline=None)
+def test_look_ups_equal_walks(spark, trees, exprs, elementwise, which):
+    """Deep documents and arrays in arrays too, which look-ups leave to the walk."""
+    deep = {"a": 1}
+    for k in range(12):
+        deep = {"a": deep} if k % 2 else {"b": deep}
+    df = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate([*trees, deep, [[[[{"a": [[[5]]]}]]]], {"a": [[[[1]]]]}])] + [(99, "{"), (98, None)], "doc_id int, json string").coalesce(1)
+    mode = "elementwise" if elementwise else "index"
+    one, other = (extract(df, exprs, array_mode=mode, which=which, strategy=s) for s in ("auto", "walk"))
+    assert rows(one) == rows(other)
+
+
+def test_values_and_reasons(spark):
+    doc = '{"person": {"title": "Ann", "lines": [{"kind": "mail"}, null], "n": 5, "none": null, "0": "zero"}}'
+    cases = [
+        ("$.person.title", '"Ann"', None),
+        ("$.person.lines[0].kind", '"mail"', None),
+        ("$.person.lines[+0].kind", '"mail"', None),
+        ("$.person.lines[01]", "null", None),
+        ("$.person[0]", '"zero"', None),
+        ("$.person.none", "null", None),
+        ("$", None, None),
+        ("$.person.nonexistent", None, "not found: nonexistent"),
+        ("$.person.nonexistent.deeper", None, "not found: nonexistent"),
+        ("$.person.lines[5].kind", None, "out of bounds: 5"),
+        ("$.person.lines[-1]", None, "out of bounds: -1"),
+        ("$.person.lines.kind", None, "invalid index: kind"),
+        ("$.person.lines[99999999999999999999]", None, "invalid index: 99999999999999999999"),
+        ("$.person.title.x", None, "cannot navigate: x"),
+        ("$.person.none.x", None, "cannot navigate: x"),
+    ]
+    df = spark.createDataFrame([(i, doc, p) for i, (p, _, _) in enumerate(cases)], "doc_id int, json string, p string")
+    got = values(df, F.col("p")).orderBy("doc_id").collect()
+    for r, (p, value, reason) in zip(got, cases):
+        assert (r["path"], r["reason"]) == (p, reason) and (p == "$" or r["value"] == value), r
+    one = df.limit(1)
+    assert [tuple(values(one, p).collect()[0])[2:] for p, _, _ in cases[1:]] == [(v, w) if p != "$" else (got[6]["value"], None) for p, v, w in cases[1:]]
+    broken = spark.createDataFrame([(1, "{", "$.a"), (2, None, "$"), (3, "1", None)], "doc_id int, json string, p string")
+    assert [tuple(r)[2:] for r in values(broken, F.col("p")).orderBy("doc_id").collect()] == [(None, "invalid document"), (None, "invalid document"), (None, None)]
+    assert values(broken.limit(0), "$").count() == 0
+
+
+def test_visitor(docs):
+    out = visit_nodes(docs.where("doc_id = 2"), lambda path, segments, value: [(path, len(segments), isinstance(value, str))] if len(segments) > 1 else [], "path string, depth int, text boolean")
+    assert out.columns == ["doc_id", "path", "depth", "text"]
+    assert sorted((r["path"], r["depth"]) for r in out.collect()) == sorted((p, p.count(".") + p.count("[")) for p in fixtures.PERSON_PATHS if p.count(".") + p.count("[") > 1)
+    with pytest.raises(ValueError):
+        visit_nodes(docs, lambda *a: [], "doc_id int")
+
+
+def test_kinds_and_leaves(docs):
+    docs = docs.where("doc_id in (1, 2, 8, 9)")
+    for leaves in (False, True):
+        one = paths(docs, value="kind", leaves=leaves)
+        assert rows(one) == rows(paths(docs, value="kind", leaves=leaves, strategy="recursive"))
+        assert rows(one) == rows(paths(docs, value="variant", leaves=leaves).withColumn("value", kind_of(F.col("value"))))
+    assert [r["path"] for r in paths(docs.where("doc_id = 9"), leaves=True).collect()] == ["$.x"]
+
+
+def test_the_session_stays_as_it_is(spark, docs):
+    names = ("spark.sql.cteRecursionRowLimit", "spark.sql.cteRecursionLevelLimit")
+    before = [spark.conf.get(n, None) for n in names]
+    wide = spark.createDataFrame([(1, json.dumps(list(range(500))))], "doc_id int, json string")
+    spark.conf.set(names[0], "100")
+    try:
+        assert paths(wide, strategy="recursive").count() == 501
+    finally:
+        spark.conf.set(names[0], before[0]) if before[0] is not None else spark.conf.unset(names[0])
+    assert [spark.conf.get(n, None) for n in names] == before
+
+
+def test_expressions_with_exponentially_many_states(spark):
+    expr = "$.(a|b){*}.a" + ".(a|b)" * 20
+    path = ["a"] * 30
+    df = spark.createDataFrame([(path,), (["b"] * 30,)], "s array<string>")
+    assert [r["matches"] for r in match(df, expr, segments=F.col("s")).collect()] == [True, False]
+    deep = "1"
+    for key in reversed(path):
+        deep = f'{{"{key}":{deep}}}'
+    docs = spark.createDataFrame([(1, deep)], "doc_id int, json string")
+    assert sorted(len(r["segments"]) for r in extract(docs, expr).collect()) == list(range(21, 31))
+    long = spark.createDataFrame([(["a"] * 5000,), (["a"] * 4999,)], "s array<string>")
+    for e, want in (("$" + ".a" * 5000, [True, False]), ("$." + "(" * 1000 + "a" + ")" * 1000, [False, False]), ("$.(a|b){*}", [True, True]), ("$.(a|a.a){*}.z", [False, False])):
+        for semantics in ("spec",) if "((" in e else ("spec", "observed"):
+            assert [r["matches"] for r in match(long, e, segments=F.col("s"), semantics=semantics).collect()] == want

@@ -35,9 +35,9 @@ def test_expressions_read_again(expr):
     assert parse(expr.to_expr()) == expr
 
 
-@pytest.mark.parametrize("text", fixtures.BAD_EXPRESSIONS)
-def test_errors(text):
-    with pytest.raises(PathSyntaxError) as e:
+@pytest.mark.parametrize("text, part", fixtures.BAD_EXPRESSIONS)
+def test_errors(text, part):
+    with pytest.raises(PathSyntaxError, match=f"^{part} error: ") as e:
         parse(text)
     assert 0 <= e.value.position <= len(text)
 
