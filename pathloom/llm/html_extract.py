@@ -315,20 +315,24 @@ def _run(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.nd
 
 
 def _back(x: np.ndarray, w: np.ndarray, u: np.ndarray, tape: list, d_out: np.ndarray) -> list[np.ndarray]:
-    gw, gu, gb = np.zeros_like(w), np.zeros_like(u), np.zeros(w.shape[1], np.float32)
     dh, dc = np.zeros_like(d_out[0]), np.zeros_like(d_out[0])
+    every = np.empty((len(tape), len(dh), w.shape[1]), d_out.dtype)
+    hidden = u.shape[0]
     for t in range(len(tape) - 1, -1, -1):
         h, c, i, f, o, a, s, m = tape[t]
         dh = dh + d_out[t]
         d = m * dh
         d_cell = dc * m + d * o * (1 - s * s)
-        dz = np.concatenate([d_cell * a * i * (1 - i), d_cell * c * f * (1 - f), d * s * o * (1 - o), d_cell * i * (1 - a * a)], 1)
-        gw += x[t].T @ dz
-        gu += h.T @ dz
-        gb += dz.sum(0)
+        dz = every[t]
+        dz[:, :hidden] = d_cell * a * i * (1 - i)
+        dz[:, hidden : 2 * hidden] = d_cell * c * f * (1 - f)
+        dz[:, 2 * hidden : 3 * hidden] = d * s * o * (1 - o)
+        dz[:, 3 * hidden :] = d_cell * i * (1 - a * a)
         dh = (1 - m) * dh + dz @ u.T
         dc = (1 - m) * dc + d_cell * f
-    return [gw, gu, gb]
+    flat = every.reshape(-1, w.shape[1])
+    before = np.concatenate([t[0] for t in tape])
+    return [x[: len(tape)].reshape(-1, x.shape[2]).T @ flat, before.T @ flat, flat.sum(0)]
 
 
 def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
