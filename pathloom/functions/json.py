@@ -109,25 +109,37 @@ def _either(s: str) -> Callable[[Column], Column]:
 
 
 def why_not(document: Column, segments: Column) -> Column:
-    """STRUCT<value, reason> of what is at segments that may differ from row to row: a VARIANT, or why there is none."""
-    blank = F.lit(None).cast("variant")
+    """STRUCT<value, reason> of what is at segments that may differ from row to row: a VARIANT, or why there is none.
 
-    def failed(reason: str, s: Column) -> Column:
-        return F.struct(blank.alias("value"), F.concat(F.lit(f"{reason}: "), s).alias("reason"))
+    A segment costs a look-up or two; only where nothing is found the value is looked at for the reason.
+    """
+
+    def told(value: Column | None, reason: Column | None) -> Column:
+        none = F.lit(None)
+        return F.struct((none.cast("variant") if value is None else value).alias("value"), (none.cast("string") if reason is None else reason).alias("reason"))
+
+    def failed(value: Column, s: Column, index: Column) -> Column:
+        kind = (
+            F.when(F.try_variant_get(value, "$", "map<string,variant>").isNotNull(), "not found")
+            .when(F.try_variant_get(value, "$", "array<variant>").isNull(), "cannot navigate")
+            .when(index.isNull(), "invalid index")
+            .otherwise("out of bounds")
+        )
+        return told(None, F.concat(kind, F.lit(": "), s))
 
     def step(at: Column, s: Column) -> Column:
         value = at["value"]
-        members, items = F.try_variant_get(value, "$", "map<string,variant>"), F.try_variant_get(value, "$", "array<variant>")
         index = F.when(s.rlike("^[+-]?[0-9]+$"), s.try_cast("bigint"))
-        of_object = F.when(F.map_contains_key(members, s), F.struct(F.try_element_at(members, s).alias("value"), F.lit(None).cast("string").alias("reason"))).otherwise(failed("not found", s))
-        of_array = (
-            F.when(index.isNull(), failed("invalid index", s))
-            .when((index < 0) | (index >= F.size(items)), failed("out of bounds", s))
-            .otherwise(F.struct(F.get(items, index.cast("int")).alias("value"), F.lit(None).cast("string").alias("reason")))
+        member = (
+            F.when(~s.contains("'"), F.try_variant_get(value, F.concat(F.lit("$['"), s, F.lit("']")), "variant"))
+            .when(~s.contains('"'), F.try_variant_get(value, F.concat(F.lit('$["'), s, F.lit('"]')), "variant"))
+            .otherwise(F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), s))
         )
-        return F.when(at["reason"].isNotNull(), at).when(members.isNotNull(), of_object).when(items.isNotNull(), of_array).otherwise(failed("cannot navigate", s))
+        element = F.when(index.between(0, 2**31 - 1), F.try_variant_get(value, F.concat(F.lit("$["), index.cast("string"), F.lit("]")), "variant"))
+        found = _with(F.coalesce(member, element), lambda x: F.when(x.isNotNull(), told(x, None)).otherwise(failed(value, s, index)))
+        return F.when(at["reason"].isNotNull(), at).otherwise(found)
 
-    start = F.struct(document.alias("value"), F.when(document.isNull(), F.lit("invalid document")).alias("reason"))
+    start = _with(document, lambda x: told(x, F.when(x.isNull(), F.lit("invalid document"))))
     return F.when(segments.isNotNull(), F.aggregate(segments, start, step))
 
 

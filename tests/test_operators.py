@@ -247,6 +247,7 @@ def test_values_and_reasons(spark):
     broken = spark.createDataFrame([(1, "{", "$.a"), (2, None, "$"), (3, "1", None)], "doc_id int, json string, p string")
     assert [tuple(r)[2:] for r in values(broken, F.col("p")).orderBy("doc_id").collect()] == [(None, "invalid document"), (None, "invalid document"), (None, None)]
     assert values(broken.limit(0), "$").count() == 0
+    assert values(broken, F.col("p"))._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
 
 
 def test_visitor(docs):
