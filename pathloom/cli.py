@@ -1,4 +1,4 @@
-"""Command line: parse, test, validate and extract, for one document at a time and without Spark."""
+"""Command line: parse, test, validate and extract, for one document at a time and without Spark; the file - is the input stream."""
 
 from __future__ import annotations
 
@@ -20,7 +20,9 @@ def _no_constant(name: str) -> object:
 
 
 def _read(text: str) -> tuple[str, object]:
-    if text.startswith("@"):
+    if text == "@-":
+        text = sys.stdin.read()
+    elif text.startswith("@"):
         with open(text[1:], encoding="utf-8") as f:
             text = f.read()
     json.JSONDecoder(parse_constant=_no_constant).raw_decode(text.lstrip(" \t\n\r"))

@@ -74,22 +74,22 @@ TREES: list[tuple[tuple[str, ...], str]] = [
     (("$.(a)",), "$ (ROOT)\n  (END)\n  (GROUP)\n    ALT0:\n      $ (ROOT)\n        .a\n          (END)\n    (END)\n"),
 ]
 
-# arguments of the command line, exit code and output for the document PERSON
+# arguments of the command line, exit code and output where the input stream is the document PERSON
 COMMANDS: list[tuple[str, int, str]] = [
     ("parse -j $.item.(next|side.next){*}", 0, '{"expression":"$.item.(next|side.next){*}","parsed":"$.item(.next|.side.next){*}","root":"$","segment_count":2,"segments":[".item","(.next|.side.next){*}"]}\n'),
     ("parse $.a", 0, "Parsed: $.a\nRoot: $\nSegments (1):\n  [0] .a\n"),
     ("parse -v $.a.(b)", 0, "Parsed: $.a(.b)\nRoot: $\nSegments (2):\n  [0] .a\n  [1] (.b)\nReads again as: $.a.(b)\n"),
     ("parse a", 1, ""),
-    ("test -j $.person.size @FILE", 0, '{"expression":"$.person.size","total_paths":11,"matching_paths":1,"matches":["$.person.size"],"success":true}\n'),
-    ("test $.person.none @FILE", 1, "0 of 11 paths match\n"),
-    ("test -q $.person -f FILE", 0, ""),
-    ("test --elementwise $.person.lines.kind @FILE", 0, "+ $.person.lines[0].kind\n+ $.person.lines[1].kind\n2 of 11 paths match\n"),
-    ("validate @FILE", 0, "valid JSON\n"),
+    ("test -j $.person.size @-", 0, '{"expression":"$.person.size","total_paths":11,"matching_paths":1,"matches":["$.person.size"],"success":true}\n'),
+    ("test $.person.none @-", 1, "0 of 11 paths match\n"),
+    ("test -q $.person -f -", 0, ""),
+    ("test --elementwise $.person.lines.kind @-", 0, "+ $.person.lines[0].kind\n+ $.person.lines[1].kind\n2 of 11 paths match\n"),
+    ("validate @-", 0, "valid JSON\n"),
     ("validate -j [1]", 0, '{"valid":true}\n'),
     ("validate {", 1, ""),
-    ("extract -j $.person.(title|size) FILE", 0, '{"expression":"$.person.(title|size)","file":"FILE","matches":2,"values":["Ann",30]}\n'),
-    ("extract $.person.lines[1].text FILE", 0, '[1] $.person.lines[1].text: "555-0100"\n'),
-    ("extract $.none FILE", 1, "no match\n"),
+    ("extract -j $.person.(title|size) -", 0, '{"expression":"$.person.(title|size)","file":"-","matches":2,"values":["Ann",30]}\n'),
+    ("extract $.person.lines[1].text -", 0, '[1] $.person.lines[1].text: "555-0100"\n'),
+    ("extract $.none -", 1, "no match\n"),
 ]
 
 TOKENS: list[tuple[str, str]] = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import io
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -122,11 +123,12 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the command line prints and returns: parse, test, validate and extract with their flags."""
 
     def run(args: str) -> tuple[int, str]:
-        with tempfile.NamedTemporaryFile("w", suffix=".json", encoding="utf-8") as f, contextlib.redirect_stdout(io.StringIO()) as out, contextlib.redirect_stderr(io.StringIO()):
-            f.write(fixtures.PERSON)
-            f.flush()
-            code = cli.main([a.replace("FILE", f.name) for a in args.split(" ")])
-            return code, out.getvalue().replace(f.name, "FILE")
+        before, sys.stdin = sys.stdin, io.StringIO(fixtures.PERSON)
+        try:
+            with contextlib.redirect_stdout(io.StringIO()) as out, contextlib.redirect_stderr(io.StringIO()):
+                return cli.main(args.split(" ")), out.getvalue()
+        finally:
+            sys.stdin = before
 
     return _rows(spark, [(args, *run(args)) for args, _, _ in fixtures.COMMANDS], "args string, code int, output string")
 
