@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm import pivot_index as pi
 from pathloom.llm import simhash as sh
-from pathloom.llm.groups import components, links_in_lists
+from pathloom.llm.groups import components, forest, links_in_lists
 from pathloom.llm.queries import queries
 from pathloom.llm.textbatch import Texts
 
@@ -72,6 +72,36 @@ def test_a_hot_list_costs_its_size():
     assert len(i) == 19_999 and looked == 19_999
 
 
+@given(st.integers(0, 10_000), st.integers(1, 60), st.integers(0, 200))
+@settings(max_examples=100, deadline=None)
+def test_a_forest_joins_the_same(seed, n, links):
+    rng = np.random.default_rng(seed)
+    i, j = rng.integers(0, n, (2, links))
+    some = forest(i, j, n)
+    assert union(n, zip(i[some].tolist(), j[some].tolist())) == (want := union(n, zip(i.tolist(), j.tolist())))
+    assert len(some) == n - len(set(want))
+
+
+def test_many_near_copies_have_few_links(spark):
+    """Clusters whose members are all near each other but no two equal: links by their number, not its square."""
+    rng, p = np.random.default_rng(4), sh.Params()
+    base = rng.integers(0, 2**63, (4, 4), dtype=np.uint64)
+    flips = (rng.random((2000, 256)) < 0.05).astype(np.uint8)
+    f = base[np.arange(2000) % 4] ^ np.packbits(flips, axis=1).view(np.uint64)
+    prints = spark.createDataFrame([(bytearray(x.tobytes()),) for x in f], "f binary")
+    found = sh.links(prints, len(f), p).collect()
+    number = {x.tobytes(): k for k, x in enumerate(f)}
+    pairs = [(number[bytes(r["a"])], number[bytes(r["b"])]) for r in found]
+    i, j = np.array(pairs).T
+    assert (sh.hamming(f[i], f[j]) <= p.bits).all()
+    _, lists = sh.plan(len(f), p)
+    assert len(pairs) <= lists * len(f)
+    x, y = np.triu_indices(len(f), 1)
+    near = sh.hamming(f[x], f[y]) <= p.bits
+    near[near] = sh.meets(f[x[near]], f[y[near]], p, *sh.plan(len(f), p)).any(1) & (sh.shared_bytes(f[x[near]], f[y[near]]) >= p.least)
+    assert union(len(f), pairs) == union(len(f), zip(x[near].tolist(), y[near].tolist()))
+
+
 def parted(rng, n, bits):
     """Fingerprints and partners at exactly that distance, the differing bits anywhere."""
     a = rng.integers(0, 2**63, (n, 4), dtype=np.uint64)
