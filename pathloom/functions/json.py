@@ -28,6 +28,11 @@ def is_valid(text: Column) -> Column:
     return parsed(text).isNotNull()
 
 
+def valid_text(text: Column) -> Column:
+    """A text if it is a JSON document, else null. In a filter, what makes the text would be worked out once more, below it."""
+    return _with(text, lambda x: F.when(is_valid(x), x))
+
+
 def segments_of(path: str) -> list[str]:
     """Segments of a path such as `$.a["b c"].d[0]`; empty brackets vanish, an unclosed one is a segment of its own."""
     rest = path.removeprefix("$").removeprefix(".")
@@ -108,41 +113,6 @@ def _either(s: str) -> Callable[[Column], Column]:
     return lambda x: F.coalesce(key_of(x, s), F.try_variant_get(x, f"$[{s}]", "variant"))
 
 
-def why_not(document: Column, segments: Column) -> Column:
-    """STRUCT<value, reason> of what is at segments that may differ from row to row: a VARIANT, or why there is none.
-
-    A segment costs a look-up or two; only where nothing is found the value is looked at for the reason.
-    """
-
-    def told(value: Column | None, reason: Column | None) -> Column:
-        none = F.lit(None)
-        return F.struct((none.cast("variant") if value is None else value).alias("value"), (none.cast("string") if reason is None else reason).alias("reason"))
-
-    def failed(value: Column, s: Column, index: Column) -> Column:
-        kind = (
-            F.when(F.try_variant_get(value, "$", "map<string,variant>").isNotNull(), "not found")
-            .when(F.try_variant_get(value, "$", "array<variant>").isNull(), "cannot navigate")
-            .when(index.isNull(), "invalid index")
-            .otherwise("out of bounds")
-        )
-        return told(None, F.concat(kind, F.lit(": "), s))
-
-    def step(at: Column, s: Column) -> Column:
-        value = at["value"]
-        index = F.when(s.rlike("^[+-]?[0-9]+$"), s.try_cast("bigint"))
-        member = (
-            F.when(~s.contains("'"), F.try_variant_get(value, F.concat(F.lit("$['"), s, F.lit("']")), "variant"))
-            .when(~s.contains('"'), F.try_variant_get(value, F.concat(F.lit('$["'), s, F.lit('"]')), "variant"))
-            .otherwise(F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), s))
-        )
-        element = F.when(index.between(0, 2**31 - 1), F.try_variant_get(value, F.concat(F.lit("$["), index.cast("string"), F.lit("]")), "variant"))
-        found = _with(F.coalesce(member, element), lambda x: F.when(x.isNotNull(), told(x, None)).otherwise(failed(value, s, index)))
-        return F.when(at["reason"].isNotNull(), at).otherwise(found)
-
-    start = _with(document, lambda x: told(x, F.when(x.isNull(), F.lit("invalid document"))))
-    return F.when(segments.isNotNull(), F.aggregate(segments, start, step))
-
-
 def is_index(s: str) -> bool:
     return s.isascii() and s.isdigit() and len(s) < 11 and (s == "0" or s[0] != "0") and int(s) < 2**31
 
@@ -205,4 +175,4 @@ def format_json(text: Column) -> Column:
     return pretty(F.to_json(parsed(text)))
 
 
-__all__ = ["array_index", "encode_path", "encoded", "format_json", "formatted", "is_valid", "kind_of", "parsed", "segments_of", "split_path", "value_at", "variant_paths"]
+__all__ = ["array_index", "encode_path", "encoded", "format_json", "formatted", "is_valid", "kind_of", "parsed", "segments_of", "split_path", "valid_text", "value_at", "variant_paths"]

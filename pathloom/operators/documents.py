@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,8 +12,8 @@ from pyspark.sql import types as T
 
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from pathloom.functions.json import encoded, is_valid, kind_of, parsed, segments_of, split_path, variant_paths, why_not
-from pathloom.operators.walk import count_paths, dump, every_path, kind, load, matching_paths
+from pathloom.functions.json import encoded, is_valid, kind_of, parsed, segments_of, split_path, valid_text, variant_paths
+from pathloom.operators.walk import count_paths, dump, every_path, kind, load, look_up, matching_paths
 from pathloom.plans.automaton import Automaton, Observed, decode_path, depth, literal_paths, observed_regex, to_regex
 from pathloom.plans.syntax import Group, PathExpr, parse
 
@@ -72,11 +73,23 @@ def _told(path: str, segments: tuple[str, ...]) -> tuple[str, Sequence[str]]:
     return (path, segments) if path.isascii() else (_clean(path), [_clean(s) for s in segments])
 
 
-def _walk(df: DataFrame, json_col: str, keep: list[str], fields: list[tuple[str, T.DataType, pa.DataType]], visit) -> DataFrame:
+Fields = list[tuple[str, T.DataType, pa.DataType]]
+
+
+def _walk(df: DataFrame, json_col: str, keep: list[str], fields: Fields, visit) -> DataFrame:
     """Run visit(document) -> rows of `fields` over every valid document, in one pass without a shuffle.
 
-    Invalid documents are filtered out by Spark's own parser before, so both agree on what is valid.
+    Invalid documents are left out by Spark's own parser before, so both agree on what is valid.
     """
+
+    def run(text: str | None) -> Iterable[tuple]:
+        return () if text is None else visit(load(text))
+
+    return _rows_of(df, [valid_text(_c(json_col))], keep, fields, run)
+
+
+def _rows_of(df: DataFrame, given: list[Column], keep: list[str], fields: Fields, visit) -> DataFrame:
+    """Run visit(values of `given`) -> rows of `fields` over every row, in one pass without a shuffle."""
     inner = [f"k{i}" for i in range(len(keep))]
     schema = T.StructType([*(T.StructField(n, df.schema[c].dataType) for n, c in zip(inner, keep)), *(T.StructField(n, t) for n, t, _ in fields)])
     names, types = schema.names, [t for _, _, t in fields]
@@ -90,8 +103,8 @@ def _walk(df: DataFrame, json_col: str, keep: list[str], fields: list[tuple[str,
                 taken = [batch.column(i).take(pa.array(source, pa.int64())) for i in range(len(inner))]
                 return pa.RecordBatch.from_arrays([*taken, *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names)
 
-            for i, text in enumerate(batch.column(len(inner)).to_pylist()):
-                for made in visit(load(text)):
+            for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns[len(inner) :]))):
+                for made in visit(*row):
                     rows.append(made)
                     source.append(i)
                     if len(rows) >= BATCH:
@@ -101,8 +114,8 @@ def _walk(df: DataFrame, json_col: str, keep: list[str], fields: list[tuple[str,
             if rows:
                 yield result()
 
-    valid = df.where(is_valid(_c(json_col))).select(*(_c(c).alias(n) for n, c in zip(inner, keep)), _c(json_col).alias("json"))
-    return valid.mapInArrow(run, schema).toDF(*keep, *(n for n, _, _ in fields))
+    asked = df.select(*(_c(c).alias(n) for n, c in zip(inner, keep)), *(g.alias(f"g{i}") for i, g in enumerate(given)))
+    return asked.mapInArrow(run, schema).toDF(*keep, *(n for n, _, _ in fields))
 
 
 _PATH = ("path", T.StringType(), pa.string())
@@ -341,10 +354,16 @@ def match_which(df: DataFrame, patterns: DataFrame, segments: Column | None = No
     return df.withColumn(id_col, F.explode(which(encoded(_segments(segments, path)))))
 
 
+@lru_cache(4096)
+def _split(path: str) -> tuple[str, ...]:
+    return tuple(segments_of(path))
+
+
 def values(df: DataFrame, path: str | Column, json_col: str = "json", keep: Sequence[str] = ("doc_id",), value: str = "json") -> DataFrame:
     """Rows (kept columns, path, value, reason), one for each row of `df`: the value at one path, or why there is none.
 
-    path: a text such as `$.a.b[0]` or a column of such texts. reason is null for a value that was found, else one of
+    path: a text such as `$.a.b[0]`, a column of such texts, or one of arrays of them, which gives a row for each element and
+    reads the document once for all. reason is null for a value that was found, else one of
     "invalid document", "not found" (no such member), "out of bounds", "invalid index" (an element asked for by what is no
     integer) and "cannot navigate" (into a text, number, boolean or null), followed by the segment at which it failed. An index
     may have a sign and leading zeros. A null path has a null value and reason. ValueError for a clash with a kept column.
@@ -352,9 +371,21 @@ def values(df: DataFrame, path: str | Column, json_col: str = "json", keep: Sequ
     keep = list(keep)
     _free(keep, ["path", "value", "reason"])
     text = F.lit(path) if isinstance(path, str) else path
-    inner = [f"k{i}" for i in range(len(keep))]
-    base = df.select(*(_c(c).alias(n) for n, c in zip(inner, keep)), text.alias("path"), why_not(parsed(_c(json_col)), split_path(text)).alias("found"))
-    return base.select(*inner, "path", _value(F.col("found.value"), value).alias("value"), F.col("found.reason").alias("reason")).toDF(*keep, "path", "value", "reason")
+    several = isinstance(df.select(text).schema[0].dataType, T.ArrayType)
+
+    def visit(json: str | None, asked: list[str | None] | None) -> Iterator[tuple]:
+        document = None if json is None else load(json)
+        for p in asked or ():
+            if p is None or json is None:
+                yield p, None, None if p is None else "invalid document"
+                continue
+            found, reason = look_up(document, _split(p))
+            yield p, None if reason else _clean(dump(found)), reason
+
+    fields = [_PATH, _VALUE, ("reason", T.StringType(), pa.string())]
+    out = _rows_of(df, [valid_text(_c(json_col)), text if several else F.array(text)], keep, fields, visit)
+    found = F.from_json("value", "variant") if value == "json" else F.parse_json("value")  # equal; parse_json is the faster
+    return out.select(*map(_c, keep), "path", _value(found, value).alias("value"), "reason")
 
 
 def summarise(df: DataFrame, exprs: Exprs, json_col: str = "json", keep: Sequence[str] = ("doc_id",), semantics: str = "spec", array_mode: str = "index", all_paths: bool = False) -> DataFrame:

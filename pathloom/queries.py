@@ -275,9 +275,9 @@ def events_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def extract_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value at a path that differs from row to row, or why there is none."""
-    asked = F.explode(F.array(*map(F.lit, ("$.order.key", "$.order.lines", "$.order.none.x", "$.order.lines[99].n", "$.order.lines.qty", "$.order.status.x"))))
+    asked = F.array(*map(F.lit, ("$.order.key", "$.order.lines", "$.order.none.x", "$.order.lines[99].n", "$.order.lines.qty", "$.order.status.x")))
     docs = order_documents(spark, sf_dir).select("o_orderkey", "json", asked.alias("p"))
-    docs = docs.union(_rows(spark, [(-1, "{", "$.order.key")], "o_orderkey bigint, json string, p string"))
+    docs = docs.union(_rows(spark, [(-1, "{", ["$.order.key"])], "o_orderkey bigint, json string, p array<string>"))
     found = values(docs, F.col("p"), keep=["o_orderkey"], value="variant")
     count = F.size(F.try_variant_get("value", "$", "array<variant>")).cast("string")
     return found.select("o_orderkey", "path", F.when(F.col("path") == "$.order.lines", count).otherwise(F.try_variant_get("value", "$", "string")).alias("value"), "reason")

@@ -293,3 +293,22 @@ def test_expressions_with_exponentially_many_states(spark):
     for e, want in (("$" + ".a" * 5000, [True, False]), ("$." + "(" * 1000 + "a" + ")" * 1000, [False, False]), ("$.(a|b){*}", [True, True]), ("$.(a|a.a){*}.z", [False, False])):
         for semantics in ("spec",) if "((" in e else ("spec", "observed"):
             assert [r["matches"] for r in match(long, e, segments=F.col("s"), semantics=semantics).collect()] == want
+
+
+def test_what_makes_a_document_is_worked_out_once(spark):
+    """A filter on validity was pushed below the projection that makes the text, which then ran twice."""
+    df = spark.range(5).select("id", F.to_json(F.struct(F.col("id").alias("x"))).alias("json"))
+    for out in (paths(df, keep=["id"]), values(df, "$.x", keep=["id"], value="int")):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("StructsToJsonEvaluator") == 1
+
+
+def test_values_at_several_paths_read_a_document_once(spark):
+    asked = ["$.a[1]", "$.b", None, "$.a.+01", "$.c.d", "$"]
+    df = spark.createDataFrame([(1, '{"a":[1,2.50],"c":null}', asked), (2, "{", asked[:1]), (3, None, asked[:1]), (4, "{}", []), (5, "{}", None)], "doc_id int, json string, p array<string>")
+    got = values(df, F.col("p"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    single = values(df.select("doc_id", "json", F.explode("p").alias("p")), F.col("p"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, single.collect()))
+    assert [(r["path"], r["value"], r["reason"]) for r in got.where("doc_id = 1").collect()] == [
+        ("$.a[1]", "2.5", None), ("$.b", None, "not found: b"), (None, None, None), ("$.a.+01", "2.5", None), ("$.c.d", None, "cannot navigate: d"), ("$", '{"a":[1,2.5],"c":null}', None)
+    ]
