@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,12 +14,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from pathloom.functions.json import encoded, is_valid, kind_of, parsed, segments_of, split_path, valid_text, variant_paths
-from pathloom.operators.walk import count_paths, dump, every_path, kind, load, look_up, matching_paths
+from pathloom.operators.walk import Shapes, count_paths, dump, every_path, kind, load, look_up, matching_paths
 from pathloom.plans.automaton import Automaton, Observed, decode_path, depth, literal_paths, observed_regex, to_regex
 from pathloom.plans.syntax import Group, PathExpr, parse
 
 Exprs = str | PathExpr | Sequence[str | PathExpr]
 BATCH = 4096  # rows of a result batch
+NODES = 100_000  # different paths that a task counts at once
 LEVELS = 1_100  # Spark reads no deeper documents
 SEMANTICS, ARRAY_MODES, STRATEGIES = ("spec", "observed"), ("index", "elementwise"), ("auto", "direct", "walk")
 
@@ -154,6 +156,35 @@ def paths(df: DataFrame, json_col: str = "json", keep: Sequence[str] = ("doc_id"
     return _shown([*keep, *made[: 1 + segments]], out, value) if value else out
 
 
+def count_kinds(df: DataFrame, json_col: str = "json") -> DataFrame:
+    """Rows (path, kind, n): the paths of all valid documents, root and containers included, with the kinds of what is there.
+
+    Indices are left out: `[3]` reads `[]`, also inside a key. The tasks count, so only different paths travel, not values;
+    a task that has seen NODES of them hands them on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = Shapes()
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            rows = shapes.rows()
+            while some := list(islice(rows, BATCH)):
+                path, kinds, n = zip(*some)
+                yield pa.RecordBatch.from_arrays([pa.array(map(_clean, path), pa.string()), pa.array(kinds, pa.string()), pa.array(n, pa.int64())], ["path", "kind", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text is not None:
+                    shapes.add(load(text, numbers=False))
+                if shapes.size >= NODES:
+                    yield from counted()
+                    shapes = Shapes()
+        yield from counted()
+
+    told = df.select(valid_text(_c(json_col)).alias("json")).mapInArrow(run, "path string, kind string, n bigint")
+    return told.groupBy("path", "kind").agg(F.sum("n").alias("n"))
+
+
 def visit_nodes(df: DataFrame, visit: Callable[[str, tuple[str, ...], object], Iterable[tuple]], schema: str | T.StructType, json_col: str = "json", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Rows (kept columns, columns of `schema`): whatever visit(path, segments, value) returns for each node of each valid document.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pathloom import cli, fixtures
 from pathloom.functions.json import array_index, format_json, parsed, split_path, value_at
-from pathloom.operators.documents import extract, match, match_which, paths, summarise, values, with_validity
+from pathloom.operators.documents import count_kinds, extract, match, match_which, paths, summarise, values, with_validity
 from pathloom.operators.patterns import PatternSet
 from pathloom.plans.syntax import PathSyntaxError, parse, tokenize
 from pathloom.sources.files import read_document_stream, read_documents, write_results
@@ -330,8 +330,7 @@ def events_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def orders_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All paths of all orders, indices left out, with the kinds of their values and how many there are."""
-    every = paths(order_documents(spark, sf_dir), keep=[], value="kind", segments=False)
-    return every.groupBy(F.regexp_replace("path", r"\[\d+\]", "[]").alias("path"), F.col("value").alias("kind")).agg(F.count("*").alias("n"))
+    return count_kinds(order_documents(spark, sf_dir))
 
 
 @_query(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pathloom import fixtures
 from pathloom.functions.json import array_index, format_json, formatted, is_valid, kind_of, parsed, segments_of, split_path, value_at
-from pathloom.operators.documents import extract, match, match_which, paths, summarise, values, visit_nodes, with_validity
+from pathloom.operators import documents
+from pathloom.operators.documents import count_kinds, extract, match, match_which, paths, summarise, values, visit_nodes, with_validity
 from pathloom.operators.walk import dump, every_path, load, matching_paths
 from pathloom.plans.automaton import Automaton
 from pathloom.plans.syntax import PathSyntaxError
@@ -295,10 +296,27 @@ def test_expressions_with_exponentially_many_states(spark):
             assert [r["matches"] for r in match(long, e, segments=F.col("s"), semantics=semantics).collect()] == want
 
 
+def test_kinds_are_counted_without_a_row_for_each_value(spark):
+    texts = ['{"a":[{"b":1},{"b":2.5},[null]],"x[3]":true,"c":{}}', '{"a":[],"c":"t","x[4]":1e400}', "7", "{", None, '{"a":1,"a":2}', '{"a":' + "1" * 30 + "}"]
+    df = spark.createDataFrame([(t,) for t in texts], "json string")
+    want = paths(df, keep=[], value="kind", segments=False).groupBy(F.regexp_replace("path", r"\[\d+\]", "[]"), "value").count()
+    got = count_kinds(df)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert ("$.a[].b", "number", 2) in {tuple(r) for r in got.collect()}
+    assert count_kinds(df.limit(0)).count() == 0
+
+
+def test_a_task_hands_counts_on_when_they_are_many(spark, monkeypatch):
+    monkeypatch.setattr(documents, "NODES", 3)
+    df = spark.createDataFrame([(f'{{"k{i % 7}":{{"z":{i}}}}}',) for i in range(50)], "json string")
+    got = {(r["path"], r["kind"]): r["n"] for r in count_kinds(df).collect()}
+    assert got["$", "object"] == 50 and got["$.k0.z", "number"] == 8 and got["$.k6", "object"] == 7 and len(got) == 15
+
+
 def test_what_makes_a_document_is_worked_out_once(spark):
     """A filter on validity was pushed below the projection that makes the text, which then ran twice."""
     df = spark.range(5).select("id", F.to_json(F.struct(F.col("id").alias("x"))).alias("json"))
-    for out in (paths(df, keep=["id"]), values(df, "$.x", keep=["id"], value="int")):
+    for out in (count_kinds(df), paths(df, keep=["id"]), values(df, "$.x", keep=["id"], value="int")):
         assert out._jdf.queryExecution().optimizedPlan().toString().count("StructsToJsonEvaluator") == 1
 
 
